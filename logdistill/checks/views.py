@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logdistill.operators.common import spread_small
+
 LOGS_SQL = """
 SELECT event_id, ts,
   CASE user_id % 3 WHEN 0 THEN '/app/payments' WHEN 1 THEN '/app/orders' ELSE '/internal/batch' END AS log_group,
@@ -63,6 +65,8 @@ SELECT log_group || '#' || side AS window_id, log_group, side,
        CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS window_end
 FROM ({_GROUP_ROWS}) g CROSS JOIN (SELECT 'baseline' AS side UNION ALL SELECT 'comparison' AS side) s
 """
+# The same two halves with the later one as the baseline.
+BACKWARD_SQL = SIDES_SQL.replace("CASE side WHEN 'baseline'", "CASE side WHEN 'comparison'")
 WHOLE_SQL = f"""
 SELECT log_group || '#all' AS window_id, log_group,
        TIMESTAMP '2024-01-01 00:00:00' AS window_start, TIMESTAMP '2024-01-31 00:00:00' AS window_end
@@ -76,7 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log view with ``ts`` as a UTC timestamp."""
-    events = table(spark, sf_dir, "events")
+    events = spread_small(table(spark, sf_dir, "events"))
     braces = LOGS_SQL.replace("{", "{{").replace("}", "}}")
     view = spark.sql(braces.replace("FROM events", "FROM {events}"), events=events)
     return view.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -134,6 +134,8 @@ TRACE_EXCEPTION = (
     r"^([A-Za-z_][A-Za-z0-9_.]*"
     r"(?:Error|Exception|Timeout|Warning|Interrupt|Exit|Fault|Failure))(?::\s?(.*))?$"
 )
+# A line can only be a frame or an exception when it looks like this.
+TRACE_LINE = r'File "|(?:Error|Exception|Timeout|Warning|Interrupt|Exit|Fault|Failure)(?::|\W*$)'
 FINGERPRINT_FRAMES = 5
 
 # --- raw text files -----------------------------------------------------------

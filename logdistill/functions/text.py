@@ -12,6 +12,11 @@ from logdistill.functions import patterns as P
 
 # Everything that counts as blank when text is stripped, ASCII or not.
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _NOT_WS = "[^" + WS[1:]
 # Marks a protected status code while the other numbers are replaced.
@@ -19,7 +24,7 @@ _GUARD = "\ue000_"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{WS}+", ""), f"{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def not_blank(text: Column) -> Column:

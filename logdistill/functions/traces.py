@@ -68,8 +68,9 @@ def _close(state: Column, token: Column) -> Column:
 
 
 def parse_python_trace(message: Column) -> Column:
+    lines = F.filter(F.split(message, LINE_BREAK), lambda line: line.rlike(P.TRACE_LINE))
     tokens = F.filter(
-        F.transform(F.split(message, LINE_BREAK), _token),
+        F.transform(lines, _token),
         lambda t: t["file"].isNotNull() | t["exception_type"].isNotNull(),
     )
     start = F.struct(

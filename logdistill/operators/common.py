@@ -47,3 +47,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{root.rstrip('/')}/logdistill-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input over the cores when its files give fewer tasks than there are cores.
+
+    A single small file is one task, and everything up to the first shuffle would run
+    in it.  Inputs with enough splits are returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

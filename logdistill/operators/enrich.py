@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logdistill.config import DEFAULTS, Config
@@ -39,19 +39,21 @@ def extract_fields(events: DataFrame) -> DataFrame:
     are all the later passes need.
     """
     fields = F.col("parsed_fields")
+    values = {
+        "level": F.upper(X.first_string(fields, P.LEVEL_KEYS)),
+        "request_id": X.first_string(fields, P.REQUEST_ID_KEYS),
+        "trace_id": X.first_string(fields, P.TRACE_ID_KEYS),
+        "service": X.first_string(fields, P.SERVICE_KEYS),
+        "json_endpoint": X.json_endpoint(fields),
+        "json_status": X.json_status(fields),
+    }
+    # One branch for all keys, so that plain text messages skip them together.
+    found = F.when(fields.isNotNull(), F.struct(*[v.alias(n) for n, v in values.items()]))
     return (
         parse_json_message(events)
-        .withColumns(
-            {
-                "level": F.upper(X.first_string(fields, P.LEVEL_KEYS)),
-                "request_id": X.first_string(fields, P.REQUEST_ID_KEYS),
-                "trace_id": X.first_string(fields, P.TRACE_ID_KEYS),
-                "service": X.first_string(fields, P.SERVICE_KEYS),
-                "json_endpoint": X.json_endpoint(fields),
-                "json_status": X.json_status(fields),
-            }
-        )
-        .drop("parsed_fields")
+        .withColumn("__json", found)
+        .withColumns({n: F.col("__json")[n] for n in values})
+        .drop("parsed_fields", "__json")
     )
 
 
@@ -68,7 +70,7 @@ def redact(
             "parsed_fields",
             lambda _, v: F.when(
                 F.schema_of_variant(v) == "STRING",
-                F.to_variant_object(redact_text(v.cast("string"), cfg)),
+                redact_text(v.cast("string"), cfg).cast("variant"),
             ).otherwise(v),
         )
     return events.withColumns(changes)
@@ -150,31 +152,40 @@ def prepare(
     return enrich(redact(extract_fields(events), ("message", "json_endpoint"), cfg), cfg, parsers)
 
 
-def explode_traces(
+def explode_exceptions(
     events: DataFrame, keep: Sequence[str], parsers: Sequence[TraceParser] = PARSERS
 ) -> DataFrame:
-    """One row per frame of every traceback.
+    """One row per exception of every traceback.
 
-    ``exception_no`` counts from the outermost exception, ``from_root`` from the root;
-    ``frame_no`` counts in printed order.
+    ``exception_no`` counts from the outermost exception, ``from_root`` from the root.
+    The outer explode keeps the optimizer from parsing once more in a filter below.
     """
     parsed = events.select(*keep, parse_trace(F.col("message"), parsers).alias("__trace"))
-    exceptions = parsed.where(F.col("__trace").isNotNull()).select(
+    rows = parsed.select(
         *keep,
-        F.size("__trace").alias("chain_length"),
         trace_chain(F.col("__trace")).alias("chain"),
-        F.posexplode("__trace").alias("exception_no", "e"),
-    )
-    return exceptions.select(
+        F.size("__trace").alias("chain_length"),
+        F.posexplode_outer("__trace").alias("exception_no", "e"),
+    ).where(F.col("e").isNotNull())
+    return rows.select(
         *keep,
         "chain",
         "chain_length",
         "exception_no",
         (F.col("chain_length") - 1 - F.col("exception_no")).alias("from_root"),
-        F.col("e.exception_type").alias("exception_type"),
-        F.col("e.exception_message").alias("exception_message"),
-        F.posexplode("e.frames").alias("frame_no", "f"),
-    ).select("*", "f.file", "f.line", "f.function").drop("f")
+        "e.*",
+    )
+
+
+def explode_traces(
+    events: DataFrame, keep: Sequence[str], parsers: Sequence[TraceParser] = PARSERS
+) -> DataFrame:
+    """One row per frame of every traceback; ``frame_no`` counts in printed order."""
+    exceptions = explode_exceptions(events, keep, parsers)
+    rest = [c for c in exceptions.columns if c != "frames"]
+    return exceptions.select(*rest, F.posexplode("frames").alias("frame_no", "f")).select(
+        "*", "f.file", "f.line", "f.function"
+    ).drop("f")
 
 
 def hot_frames(events: DataFrame, scope: Sequence[str], top: int | None = None) -> DataFrame:
@@ -183,18 +194,13 @@ def hot_frames(events: DataFrame, scope: Sequence[str], top: int | None = None)
     counts = frames.groupBy(*scope, "file", "function").agg(F.count(F.lit(1)).alias("hits"))
     if top is None:
         return counts
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*scope).orderBy(F.desc("hits"), "file", "function")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def chain_counts(events: DataFrame, scope: Sequence[str]) -> DataFrame:
+def chain_counts(
+    events: DataFrame, scope: Sequence[str], parsers: Sequence[TraceParser] = PARSERS
+) -> DataFrame:
     """How often each exception chain occurs per scope."""
-    chain = trace_chain(parse_trace(F.col("message")))
-    return (
-        events.select(*scope, chain.alias("chain"))
-        .where(F.col("chain").isNotNull())
-        .groupBy(*scope, "chain")
-        .agg(F.count(F.lit(1)).alias("events"))
-    )
+    outermost = explode_exceptions(events, scope, parsers).where(F.col("exception_no") == 0)
+    return outermost.groupBy(*scope, "chain").agg(F.count(F.lit(1)).alias("events"))

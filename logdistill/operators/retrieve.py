@@ -179,17 +179,14 @@ def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) ->
     ).first()
     if not facts["n"]:
         return events.withColumn("wanted_id", F.lit(None).cast("string")).where(F.lit(False))
-    cuts = [
-        F.when(
-            F.length(message) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.length(message) - (n - 1)),
-                lambda i, n=n: F.substring(message, i, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sorted(facts["lengths"])
-    ]
-    pieces = events.withColumn("wanted_id", F.explode(F.array_distinct(F.concat(*cuts))))
+
+    def cuts(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(message) - (n - 1))
+        pieces = F.transform(starts, lambda i: F.substring(message, i, F.lit(n)))
+        return F.when(F.length(message) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*[cuts(n) for n in sorted(facts["lengths"])])
+    pieces = events.withColumn("wanted_id", F.explode_outer(F.array_distinct(every)))
     if facts["n"] * max(facts["lengths"]) <= BROADCAST_ID_CHARS:
         ids = F.broadcast(ids)
     return pieces.join(ids, "wanted_id")

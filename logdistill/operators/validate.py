@@ -115,7 +115,7 @@ def check_components(analyses: DataFrame, terms: DataFrame, scope: Sequence[str]
     pieces = terms.where(F.length("term") >= GRAM).select(
         *scope,
         "term",
-        F.explode(
+        F.explode_outer(
             F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))
         ).alias("gram"),
     )

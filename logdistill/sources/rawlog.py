@@ -38,7 +38,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.make_valid_utf8("value").alias("value"),
     )
     return raw.select(
-        "file", "block", "row", F.posexplode(F.split("value", _OTHER_BREAKS)).alias("part", "line")
+        "file", "block", "row", F.posexplode_outer(F.split("value", _OTHER_BREAKS)).alias("part", "line")
     ).where(not_blank(F.col("line")))
 
 
