@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logdistill.operators.common import spread_small
+from logdistill.operators.common import spread_small, stage
 
 LOGS_SQL = """
 SELECT event_id, ts,
@@ -78,12 +78,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log view with ``ts`` as a UTC timestamp."""
-    events = spread_small(table(spark, sf_dir, "events"))
-    braces = LOGS_SQL.replace("{", "{{").replace("}", "}}")
-    view = spark.sql(braces.replace("FROM events", "FROM {events}"), events=events)
-    return view.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The log view with ``ts`` as a UTC timestamp.
+
+    A log table would exist before any query runs, so the derived one is written once
+    per session where a shared folder is configured.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        events = spread_small(table(spark, sf_dir, "events"))
+        braces = LOGS_SQL.replace("{", "{{").replace("}", "}}")
+        view = spark.sql(braces.replace("FROM events", "FROM {events}"), events=events)
+        _STAGED[key] = stage(view.withColumn("ts", F.col("ts").cast("timestamp")), "logs")
+    return _STAGED[key]
 
 
 def windows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logdistill.functions import patterns as P
-from logdistill.functions.text import WS, first_match, non_empty, normalize_endpoint, strip
+from logdistill.functions.text import WS, first_match, normalize_endpoint, strip
 
 
 def json_fields(message: Column) -> Column:
@@ -20,36 +20,40 @@ def json_fields(message: Column) -> Column:
     return F.when(braces, F.try_parse_json(strip(message)).try_cast("map<string,variant>"))
 
 
-def string_field(fields: Column, key: str) -> Column:
-    """A field's value if it is a non-empty JSON string."""
-    value = fields[key]
-    return F.when(F.schema_of_variant(value) == "STRING", non_empty(value.cast("string")))
+def _string(fields: str, key: str) -> str:
+    """SQL for a field's value if it is a non-empty JSON string."""
+    value = f"{fields}['{key}']"
+    return f"if(schema_of_variant({value}) = 'STRING', nullif(cast({value} AS string), ''), null)"
 
 
-def first_string(fields: Column, keys: Sequence[str]) -> Column:
-    return F.coalesce(*[string_field(fields, k) for k in keys])
+def _coalesce(parts: Iterable[str]) -> Column:
+    return F.expr(f"coalesce({', '.join(parts)})")
 
 
-def json_endpoint(fields: Column) -> Column:
+def first_string(fields: str, keys: Sequence[str]) -> Column:
+    """The first non-empty string among the keys of a map column; numbers do not count."""
+    return _coalesce(_string(fields, k) for k in keys)
+
+
+def json_endpoint(fields: str) -> Column:
     """The first candidate key holding a path, not yet redacted or normalised."""
-    values = [string_field(fields, k) for k in P.ENDPOINT_KEYS]
-    return F.coalesce(*[F.when(v.startswith("/"), v) for v in values])
+    paths = (_string(fields, k) for k in P.ENDPOINT_KEYS)
+    return _coalesce(f"if(startswith({p}, '/'), {p}, null)" for p in paths)
 
 
-def json_status(fields: Column) -> Column:
+def json_status(fields: str) -> Column:
     """The first candidate key holding an integer, or digits in a string, from 100 to 599."""
 
-    def code(key: str) -> Column:
-        value = fields[key]
-        kind = F.schema_of_variant(value)
-        text = value.try_cast("string")
-        number = F.when(
-            (kind == "BIGINT") | ((kind == "STRING") & text.rlike("^[0-9]+$")),
-            text.try_cast("int"),
+    def code(key: str) -> str:
+        value = f"{fields}['{key}']"
+        number = f"try_cast(try_cast({value} AS string) AS int)"
+        whole = (
+            f"schema_of_variant({value}) = 'BIGINT' OR (schema_of_variant({value}) = 'STRING'"
+            f" AND cast({value} AS string) RLIKE '^[0-9]+$')"
         )
-        return F.when(number.between(100, 599), number)
+        return f"if(({whole}) AND {number} BETWEEN 100 AND 599, {number}, null)"
 
-    return F.coalesce(*[code(k) for k in P.STATUS_KEYS])
+    return _coalesce(code(k) for k in P.STATUS_KEYS)
 
 
 def text_endpoint(message: Column) -> Column:

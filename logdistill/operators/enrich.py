@@ -38,7 +38,7 @@ def extract_fields(events: DataFrame) -> DataFrame:
     Runs on the raw message.  The parsed object itself is not kept: the six values
     are all the later passes need.
     """
-    fields = F.col("parsed_fields")
+    fields = "parsed_fields"
     values = {
         "level": F.upper(X.first_string(fields, P.LEVEL_KEYS)),
         "request_id": X.first_string(fields, P.REQUEST_ID_KEYS),
@@ -48,12 +48,11 @@ def extract_fields(events: DataFrame) -> DataFrame:
         "json_status": X.json_status(fields),
     }
     # One branch for all keys, so that plain text messages skip them together.
-    found = F.when(fields.isNotNull(), F.struct(*[v.alias(n) for n, v in values.items()]))
+    found = F.when(F.col(fields).isNotNull(), F.struct(*[v.alias(n) for n, v in values.items()]))
     return (
         parse_json_message(events)
         .withColumn("__json", found)
-        .withColumns({n: F.col("__json")[n] for n in values})
-        .drop("parsed_fields", "__json")
+        .select(*events.columns, *[F.col(f"__json.{n}").alias(n) for n in values])
     )
 
 

@@ -20,9 +20,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: Column, name: str) ->
     ranks; only the distinct values of those cells are put in order.
     """
     rows = df.select(*by, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if not by:
-        rows = rows.withColumn("__all", F.lit(1))
-    group = list(by) or ["__all"]
+    group = list(by)
     span = rows.groupBy(*group).agg(
         F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n")
     )
@@ -48,8 +46,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: Column, name: str) ->
         F.count(F.lit(1)).alias("__rows")
     )
     middle = covering(values, [*group, "__cell"], "__v")
-    out = middle.groupBy(*group).agg(((F.min("__v") + F.max("__v")) / 2).alias(name))
-    return out if by else out.drop("__all")
+    return middle.groupBy(*group).agg(((F.min("__v") + F.max("__v")) / 2).alias(name))
 
 
 def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -57,6 +54,8 @@ def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
     ``ops`` has operation, duration_seconds, compression_ratio and cache_hit.
     """
+    if not scope:
+        return telemetry_rollup(ops.withColumn("__all", F.lit(1)), ("__all",)).drop("__all")
     analysis = F.col("operation").isin(*P.ANALYSIS_OPERATIONS)
     model = F.col("operation") == P.MODEL_OPERATION
     hits = F.count_if(analysis & F.col("cache_hit"))
@@ -69,9 +68,7 @@ def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
     seconds = F.coalesce("duration_seconds", F.lit(0.0))
     median = exact_median(ops.where(model), scope, seconds, "median_model_seconds")
-    if scope:
-        return null_safe_join(rollup, median, scope, "left")
-    return rollup.join(median, F.lit(True), "left")
+    return null_safe_join(rollup, median, scope, "left")
 
 
 def recent_ops(ops: DataFrame, n: int = 50) -> DataFrame:
