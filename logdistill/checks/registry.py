@@ -29,7 +29,7 @@ from logdistill.operators import sampling as S
 from logdistill.operators import stats as ST
 from logdistill.operators import validate as VA
 from logdistill.operators import windows as W
-from logdistill.operators.common import spread_small
+from logdistill.operators.common import new_path, spread_small
 from logdistill.plans import incident as I
 from logdistill.plans.reduce import reduce_events
 from logdistill.sources import events as SE
@@ -973,6 +973,30 @@ def w3_assemble_events(spark, sf_dir):
     return events.select("file", "event_no", "message", us("ts").alias("ts_us"))
 
 
+_FILE_SQL = _LINES_SQL.replace(
+    "SELECT log_group AS file", "SELECT log_group || '#' || strftime(ts, '%Y-%m-%d') AS file"
+)
+_ASSEMBLED_SQL = ORACLES["w3_assemble_events"].split(_LINES_SQL)[1]
+
+
+@query("s3_raw_logs", LOGS + ", " + _FILE_SQL + _ASSEMBLED_SQL)
+def s3_raw_logs(spark, sf_dir):
+    """The message lines as text files, one per log group and day, read back as events."""
+    lines = message_lines(spark, sf_dir).withColumn(
+        "name", F.concat("file", F.lit("#"), F.date_format(F.timestamp_micros("block"), "yyyy-MM-dd"))
+    )
+    path = new_path(spark, "raw")
+    if path is None:
+        named = lines.withColumn("file", F.col("name")).drop("name")
+        return RL.assemble_events(named).select("file", "event_no", "message", us("ts").alias("ts_us"))
+    files = lines.withColumn("file", F.hex("name")).repartition("file")
+    files = files.sortWithinPartitions("file", "row", "part")
+    files.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    events = RL.read_raw_logs(spark, f"{path}/*/")
+    name = F.decode(F.unhex(F.regexp_extract("log_group", "file=([0-9A-F]+)", 1)), "UTF-8")
+    return events.select(name.alias("file"), "event_no", "message", us("ts").alias("ts_us"))
+
+
 # --- comparison -----------------------------------------------------------------
 
 _SIDES = f"""sw AS ({V.SIDES_SQL}), sev AS (SELECT enr.*, sw.side, sw.window_end FROM enr JOIN sw
@@ -1072,6 +1096,17 @@ def _cluster_rows(summaries: DataFrame, *scope: str) -> DataFrame:
     )
 
 
+@query("s5_write_report", ORACLES["e7_reduce"])
+def s5_write_report(spark, sf_dir):
+    """The report table as JSON files, read back."""
+    report = _cluster_rows(reduced(spark, sf_dir).summaries(), "log_group")
+    path = new_path(spark, "report")
+    if path is None:
+        return report
+    SE.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 _DAY_CLUSTERS = (
     WITH_ENRICHED + f""", w AS ({V.DAYS_SQL}), wev AS (
       SELECT DISTINCT enr.* EXCLUDE event_id, w.window_id, w.window_end FROM enr JOIN w ON enr.log_group = w.log_group

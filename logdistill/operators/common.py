@@ -33,6 +33,12 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def new_path(spark: SparkSession, label: str) -> str | None:
+    """A fresh path in the shared folder, or null when there is none."""
+    root = checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/logdistill-{label}-{uuid.uuid4().hex}" if root else None
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table used by several branches once to the cluster's shared folder.
 
@@ -41,10 +47,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     DataFrame is returned as it is and simply recomputed.
     """
     spark = df.sparkSession
-    root = checkpoint_dir(spark)
-    if not root:
+    path = new_path(spark, label)
+    if path is None:
         return df
-    path = f"{root.rstrip('/')}/logdistill-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

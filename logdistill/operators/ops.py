@@ -55,7 +55,10 @@ def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     ``ops`` has operation, duration_seconds, compression_ratio and cache_hit.
     """
     if not scope:
-        return telemetry_rollup(ops.withColumn("__all", F.lit(1)), ("__all",)).drop("__all")
+        # One group for all rows, by a value the optimizer does not fold to a literal:
+        # the joins below then keep an equal key.
+        one = F.pmod(F.hash("operation"), F.lit(1))
+        return telemetry_rollup(ops.withColumn("__all", one), ("__all",)).drop("__all")
     analysis = F.col("operation").isin(*P.ANALYSIS_OPERATIONS)
     model = F.col("operation") == P.MODEL_OPERATION
     hits = F.count_if(analysis & F.col("cache_hit"))
