@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,18 +176,30 @@ def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) ->
         F.length("wanted_id") > 0
     ).distinct()
     facts = ids.agg(
-        F.collect_set(F.length("wanted_id")).alias("lengths"), F.count(F.lit(1)).alias("n")
+        F.collect_set(F.length("wanted_id")).alias("lengths"), F.count(F.lit(1)).alias("n"),
+        F.min("wanted_id").alias("lowest"), F.max("wanted_id").alias("highest"),
     ).first()
     if not facts["n"]:
         return events.withColumn("wanted_id", F.lit(None).cast("string")).where(F.lit(False))
 
+    # What the lowest and the highest id start with, all do: only there can one begin.
+    prefix = commonprefix([facts["lowest"], facts["highest"]])
+    starts = F.sequence(F.lit(1), F.length(message))
+    if prefix:
+        events = events.where(message.contains(prefix))
+        starts = F.filter(
+            starts, lambda i: F.substring(message, i, F.lit(len(prefix))) == F.lit(prefix)
+        )
+    events = events.where(F.length(message) > 0).withColumn("__starts", starts)
+
     def cuts(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(message) - (n - 1))
-        pieces = F.transform(starts, lambda i: F.substring(message, i, F.lit(n)))
-        return F.when(F.length(message) >= n, pieces).otherwise(F.array().cast("array<string>"))
+        fitting = F.filter("__starts", lambda i: i <= F.length(message) - (n - 1))
+        return F.transform(fitting, lambda i: F.substring(message, i, F.lit(n)))
 
     every = F.concat(*[cuts(n) for n in sorted(facts["lengths"])])
-    pieces = events.withColumn("wanted_id", F.explode_outer(F.array_distinct(every)))
+    pieces = events.withColumn("wanted_id", F.explode_outer(F.array_distinct(every))).drop(
+        "__starts"
+    )
     if facts["n"] * max(facts["lengths"]) <= BROADCAST_ID_CHARS:
         ids = F.broadcast(ids)
     return pieces.join(ids, "wanted_id")

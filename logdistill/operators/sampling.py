@@ -2,9 +2,9 @@
 
 A full sort of each cluster would put a dominant one into a single task.  Instead
 the wanted ranks are narrowed down on histograms: counts over 4,096 time cells of
-the cluster's life, then over 4,096 cells inside the hit ones, then (for pile-ups
-on one instant) over cells of a hash.  Only rows of the finally hit cells are
-ordered.  The order is (time, hash of stream and message, stream, message).
+the cluster's life and, where a hit cell turns out to be large, over 4,096 cells
+inside it, then (for pile-ups on one instant) over cells of a hash.  Only rows of the
+finally hit cells are ordered.  The order is (time, hash of stream and message, stream, message).
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from logdistill.functions.text import not_blank
 from logdistill.operators.clusters import cluster_template
-from logdistill.operators.common import CLUSTER_KEY, null_safe_join, stage
+from logdistill.operators.common import CLUSTER_KEY, checkpoint_dir, null_safe_join, stage
 
 CELLS = 4096
+# Cells measured to hold no more rows than this are ordered as they are.
+DIRECT_CELL_ROWS = 1_000_000
 
 
 def positions(n: Column, k: int) -> Column:
@@ -45,10 +47,10 @@ def _hit_cells(rows: DataFrame, groups: DataFrame, key: list[str], cell: Column)
     low, high = F.col("__before"), F.col("__before") + F.col("__n")
     inside = F.filter("__wanted", lambda r: (r >= low) & (r < high))
     return (
-        null_safe_join(counts, groups, key)
+        null_safe_join(counts, groups.select(*key, "__wanted"), key)
         .withColumn("__wanted", inside)
         .where(F.size("__wanted") > 0)
-        .select(*key, "__cell", F.transform("__wanted", lambda r: r - low).alias("__wanted"))
+        .select(*key, "__cell", "__n", F.transform("__wanted", lambda r: r - low).alias("__wanted"))
     )
 
 
@@ -90,21 +92,24 @@ def sample_events(
     hits = stage(_hit_cells(rows, kept.select(*key, "__wanted"), key, coarse), "sample-cells")
     rows = stage(_in_cells(rows, hits, key, coarse), "sample-candidates")
 
-    key1 = [*key, "__coarse"]
+    cell = [*key, "__coarse"]
     rows, hits = (d.withColumnRenamed("__cell", "__coarse") for d in (rows, hits))
-    fine = F.floor((offset - F.col("__coarse") * width) / (F.floor(width / CELLS) + 1))
-    hits = _hit_cells(rows, hits, key1, fine)
-    rows = _in_cells(rows, hits, key1, fine)
-
-    key2 = [*key1, "__fine"]
-    rows, hits = (d.withColumnRenamed("__cell", "__fine") for d in (rows, hits))
     tie = F.xxhash64(F.coalesce("log_stream", F.lit("")), "message")
-    instant = F.struct("ts", F.shiftright(tie, 52).alias("hash"))
-    hits = _hit_cells(rows, hits, key2, instant)
-    rows = null_safe_join(rows.withColumn("__cell", instant), hits, [*key2, "__cell"])
-
-    cell = Window.partitionBy(*key2, "__cell").orderBy("ts", tie, "log_stream", "message")
-    picked = rows.withColumn("__rank", F.row_number().over(cell) - 1).where(
+    # The staged hits tell how large the cells are; without staging take the long way.
+    staged = checkpoint_dir(enriched.sparkSession) is not None
+    largest = hits.agg(F.max("__n")).first()[0] if staged else None
+    if largest is None or largest > DIRECT_CELL_ROWS:
+        fine = F.floor((offset - F.col("__coarse") * width) / (F.floor(width / CELLS) + 1))
+        instant = F.struct("ts", F.shiftright(tie, 52).alias("hash"))
+        for name, expr in (("__fine", fine), ("__instant", instant)):
+            hits = _hit_cells(rows, hits, cell, expr)
+            rows = _in_cells(rows, hits, cell, expr)
+            rows, hits = (d.withColumnRenamed("__cell", name) for d in (rows, hits))
+            cell = [*cell, name]
+
+    rows = null_safe_join(rows, hits.select(*cell, "__wanted"), cell)
+    order = Window.partitionBy(*cell).orderBy("ts", tie, "log_stream", "message")
+    picked = rows.withColumn("__rank", F.row_number().over(order) - 1).where(
         F.array_contains("__wanted", F.col("__rank").cast("bigint"))
     )
     example = Window.partitionBy(*key).orderBy("ts", tie, "log_stream", "message")

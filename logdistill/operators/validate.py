@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logdistill.functions.text import WS
-from logdistill.operators.common import null_safe_join
+from logdistill.operators.common import null_safe_join, stage
 
 GRAM = 4
 ROOT_CAUSES = (
@@ -163,8 +163,8 @@ def validate_analyses(
     analyses: DataFrame, clusters: DataFrame, terms: DataFrame, scope: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Cleaned analyses with a ``status`` (ok or degraded), and the warnings table."""
-    refs = validate_refs(analyses, clusters, scope)
-    components = check_components(analyses, terms, scope)
+    refs = stage(validate_refs(analyses, clusters, scope), "refs")
+    components = stage(check_components(analyses, terms, scope), "components")
     warnings = validation_warnings(refs, components, scope)
     place = ["analysis_id", *scope]
     evidence = F.struct("evidence_no", "statement", "kept_ids")

@@ -51,9 +51,11 @@ class Reduction:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return sample_events(
+        """Examples of the clusters within the budget, staged like them."""
+        found = sample_events(
             self.enriched, self.clusters, self.scope, self.cfg.max_examples, self.cfg.example_chars
         )
+        return stage(found, "samples")
 
     @cached_property
     def stats(self) -> DataFrame:
