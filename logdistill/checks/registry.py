@@ -19,7 +19,6 @@ from logdistill.functions import patterns as P
 from logdistill.functions import traces as T
 from logdistill.functions.text import LINE_BREAK, normalize_text, redact_text
 from logdistill.operators import clusters as C
-from logdistill.operators import compare as D
 from logdistill.operators import enrich as E
 from logdistill.operators import evidence as EV
 from logdistill.operators import filters as FL

@@ -54,6 +54,9 @@ ALLOWLIST = ["/app/*", "/internal/b?tch", "/none"]
 
 # One window per log group and day, and the two windows compare_windows works on.
 _GROUP_ROWS = " UNION ALL ".join(f"SELECT '{g}' AS log_group" for g in GROUPS)
+_SIDE_ROWS = " UNION ALL ".join(
+    f"SELECT '{g}' AS log_group, '{side}' AS side" for g in GROUPS for side in ("baseline", "comparison")
+)
 DAYS_SQL = """
 SELECT log_group || '#' || CAST(day AS STRING) AS window_id, log_group,
        day AS window_start, day + INTERVAL 1 DAY AS window_end
@@ -63,7 +66,7 @@ SIDES_SQL = f"""
 SELECT log_group || '#' || side AS window_id, log_group, side,
        CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-15 00:00:00' END AS window_start,
        CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS window_end
-FROM ({_GROUP_ROWS}) g CROSS JOIN (SELECT 'baseline' AS side UNION ALL SELECT 'comparison' AS side) s
+FROM ({_SIDE_ROWS}) g
 """
 # The same two halves with the later one as the baseline.
 BACKWARD_SQL = SIDES_SQL.replace("CASE side WHEN 'baseline'", "CASE side WHEN 'comparison'")
