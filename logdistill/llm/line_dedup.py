@@ -100,8 +100,8 @@ def frequent_lines(
     keys = F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda h: h.isNotNull()))
     hashed = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"),
-        F.explode(keys).alias("key"),
-    )
+        F.explode_outer(keys).alias("key"),
+    ).where(F.col("key").isNotNull())
     hashed = stage(hashed, "line-keys")
     runs = Runs(spark, min_documents, fan_in)
     for b in range(batches):
@@ -122,7 +122,7 @@ def dedup_lines(
     lines = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__doc"),
         text_key(F.col("text")).alias("__text"),
-        F.posexplode(line_hashes(F.col("text"), min_chars)).alias("__pos", "key"),
+        F.posexplode_outer(line_hashes(F.col("text"), min_chars)).alias("__pos", "key"),
     ).where(F.col("key").isNotNull())
     hits = (
         lines.join(small_side(drop), "key", "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import line_dedup, mixing
+from logdistill.llm import decontaminate, line_dedup, mixing, secrets
 from logdistill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,20 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": _leaks,
     "op7_mixing": _over("documents", mixing.mixed_sizes),
+    "op8_secrets": _over("documents", secrets.secret_documents),
     "op10_line_dedup": _over("documents", line_dedup.lean_documents),
 }
 ORACLES: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
