@@ -6,10 +6,16 @@ import tempfile
 import uuid
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import logdistill.llm
+
+# Functions of this package travel to executors by value, so nothing is installed there.
+cloudpickle.register_pickle_by_value(logdistill.llm)
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
