@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, secrets
+from logdistill.llm import decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets
 from logdistill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op4_ngram_join": _over("documents", ngram_join.classified),
     "op7_mixing": _over("documents", mixing.mixed_sizes),
     "op8_secrets": _over("documents", secrets.secret_documents),
+    "op9_language": _over("documents", language.languages),
     "op10_line_dedup": _over("documents", line_dedup.lean_documents),
 }
 ORACLES: dict[str, str] = {
