@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets
+from logdistill.llm import ann, decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets
 from logdistill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_licenses": _over("documents", licenses.licensed_documents),
+    "op2_ann": _over("embeddings", ann.nearest_hundredth),
     "op3_decontamination": _leaks,
     "op4_ngram_join": _over("documents", ngram_join.classified),
     "op7_mixing": _over("documents", mixing.mixed_sizes),
