@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import ann, decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets
+from logdistill.llm import ann, decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets, warc
 from logdistill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op2_ann": _over("embeddings", ann.nearest_hundredth),
     "op3_decontamination": _leaks,
     "op4_ngram_join": _over("documents", ngram_join.classified),
+    "op5_warc": _over("pages", warc.archived_pages),
     "op7_mixing": _over("documents", mixing.mixed_sizes),
     "op8_secrets": _over("documents", secrets.secret_documents),
     "op9_language": _over("documents", language.languages),
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
