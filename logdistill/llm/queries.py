@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import ann, decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets, warc
+from logdistill.llm import ann, decontaminate, language, licenses, line_dedup, mixing, ngram_join, page_text, secrets, warc
 from logdistill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": _leaks,
     "op4_ngram_join": _over("documents", ngram_join.classified),
     "op5_warc": _over("pages", warc.archived_pages),
+    "op6_page_text": _over("pages", page_text.main_texts),
     "op7_mixing": _over("documents", mixing.mixed_sizes),
     "op8_secrets": _over("documents", secrets.secret_documents),
     "op9_language": _over("documents", language.languages),
