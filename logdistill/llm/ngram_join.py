@@ -9,14 +9,15 @@ bucket, every member is also compared with a leader of the bucket, another one a
 level; so a pile of near copies is linked in linear work while it is split further, down
 to buckets of equal signatures.  Candidate pairs are verified on the exact sets.
 
-Cases: texts of 1 to 4 words have one shingle of all their words; null texts and texts
-without words are alone in their class; null ids never name a class unless no member has
-an id; repeated rows belong to the same class and each get their row; an empty table
+Cases: texts of 1 to 4 words have one shingle of all their words; texts without words
+have no links and share a class with equal texts only, null counting as the empty text;
+null ids never name a class unless no member has an id; repeated rows belong to the same class and each get their row; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -60,6 +61,10 @@ def signatures(docs: DataFrame, words: int = WORDS, tokens: int = TOKENS) -> Dat
                 sets = S.shingle_sets(texts[part], words)
                 sums = [S.mixed(s + np.uint64(7)).sum(dtype=np.uint64) for s in sets]
                 node = S.mixed(np.array(sums, dtype=np.uint64) + np.array([len(s) for s in sets], np.uint64))
+                for i, s in enumerate(sets):
+                    if not len(s):
+                        raw = texts[part][i].encode("utf-8", "surrogatepass")
+                        node[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big")
                 yield pd.DataFrame(
                     {
                         "row": batch["row"].to_numpy()[part],
@@ -241,13 +246,10 @@ def near_duplicates(
     )
     facts = roots.join(degree, "node")
     return (
-        signed.select("row", "doc_id", "n", "node")
+        signed.select("row", "doc_id", "node")
         .join(facts, "node", "left")
         .select(
-            "row", "doc_id", "node",
-            # Rows without words are alone: their own row names them.
-            F.when(F.col("n") == 0, F.col("row")).otherwise(F.coalesce("root", "node")).alias("root"),
-            (F.col("n") == 0).alias("alone"),
+            "row", "doc_id", F.coalesce("root", "node").alias("root"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
@@ -256,28 +258,21 @@ def near_duplicates(
 def classified(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, class_id (smallest id of the class), n_links (other texts linked to this one)."""
     found = stage(near_duplicates(docs.select("doc_id", "text"), similarity, words), "classified")
-    names = found.where(~F.col("alone")).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    alone = found.where("alone").select("doc_id", F.col("doc_id").alias("class_id"), "n_links")
-    rest = found.where(~F.col("alone")).join(names, "root").select("doc_id", "class_id", "n_links")
-    return rest.unionByName(alone)
+    names = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return found.join(names, "root").select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """Keep the row with the smallest id of each class; rows without words all stay."""
+    """Keep the row with the smallest id of each class, whole; repeated rows once."""
     found = stage(near_duplicates(docs.select("doc_id", "text"), similarity, words), "classified")
-    first = (
-        found.where(~F.col("alone"))
-        .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("__row"))
-        .select("__row")
-        .distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"]
+    kept = stage(found.groupBy("root").agg(first.alias("__row")).select("__row").distinct(), "kept")
+    # Rows that agree in id and text share a row key; only these need to be compared.
+    twice = stage(
+        found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("row").alias("__row")),
+        "repeated",
     )
-    keyed = docs.withColumn("__row", row_key())
-    kept = keyed.join(small_side(stage(first, "kept")), "__row", "left_semi")
-    # Rows that agree in id and text share a key; one of them stays.
-    worded = kept.dropDuplicates(["__row"])
-    silent = keyed.join(
-        small_side(stage(found.where("alone").select(F.col("row").alias("__row")).distinct(), "silent")),
-        "__row", "left_semi",
-    )
-    return worded.unionByName(silent).drop("__row")
+    mine = docs.withColumn("__row", row_key()).join(small_side(kept), "__row", "left_semi")
+    once = mine.join(small_side(twice), "__row", "left_anti")
+    rest = mine.join(small_side(twice), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(rest).drop("__row")
