@@ -9,7 +9,8 @@ hashes of all document word runs of the same length, then verified the same way.
 
 Cases: null and empty texts have no words and neither hit nor are hit; items with a null
 id count as an item named by the empty string; repeated items count once by id; repeated
-documents each get their row; empty tables give clean documents or no rows.
+documents each get their row; columns of the
+names added here are replaced; empty tables give clean documents or no rows.
 """
 
 from __future__ import annotations
@@ -149,7 +150,8 @@ def windows_hit(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``."""
-    keyed = docs.withColumn(
+    own = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    keyed = docs.drop(*own).withColumn(
         "__doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     ).withColumn("__text", text_key(F.col("text")))
     hit = stage(windows_hit(keyed, benchmark), "windows-hit")

@@ -11,7 +11,8 @@ are compared before they vote.
 The base phrases are templates too, which must be covered in full on a single diagonal.
 
 Cases: a null text is empty; documents without hits have null places, empty labels and
-score 0; repeated rows each get their row; an empty table gives no rows.
+score 0; repeated rows each get their row; columns of the names added here are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from logdistill.llm.common import count_words, grams, stage, text_key, words_of
 K = 3
 GAP = 8
 COVER = 0.6
+MOST_PLACES = 63
 
 # Phrases that name a license wherever their words stand.
 PHRASES = {
@@ -65,6 +67,8 @@ def template_places(spark: SparkSession) -> DataFrame:
     worded = spark.createDataFrame(rows, "template int, label string, base boolean, text string").select(
         "template", "label", "base", words_of(F.col("text")).alias("ws")
     )
+    if worded.where(F.size("ws") - (K - 1) > MOST_PLACES).count():
+        raise ValueError(f"a template has more than {MOST_PLACES} places")
     return worded.select(
         "template", "label", "base", (F.size("ws") - (K - 1)).alias("size"), "ws",
         F.posexplode_outer(grams(F.col("ws"), K)).alias("place", "gram"),
@@ -97,7 +101,8 @@ def spans(hits: DataFrame) -> DataFrame:
         .groupBy("__doc", "__text", "template", "label", "base", "size", "diagonal")
         .agg(
             F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"),
-            F.min("place").alias("from"), F.max("place").alias("to"),
+            # The places as bits of one number: templates have at most MOST_PLACES.
+            F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"),
         )
     )
     full = diagonals.where(F.col("base") & (F.col("votes") == F.col("size")))
@@ -105,13 +110,10 @@ def spans(hits: DataFrame) -> DataFrame:
         "__doc", "__text", "template", "label", "base", F.col("first").cast("long").alias("start"),
         (F.col("last") + K).cast("long").alias("end"), F.lit(1.0).alias("cover"),
     )
-    # A diagonal goes on with the one before it when both lie close and their places in the
-    # template do not go back.
-    row = Window.partitionBy("__doc", "__text", "template").orderBy("first", "diagonal")
-    close = (
-        (F.abs(F.col("diagonal") - F.lag("diagonal").over(row)) <= GAP)
-        & (F.col("from") > F.lag("to").over(row))
-    )
+    # Diagonals at most GAP apart belong together.  Words that occur twice in a template
+    # also vote for far diagonals, which stay on their own and are not covered.
+    row = Window.partitionBy("__doc", "__text", "template").orderBy("diagonal")
+    close = F.col("diagonal") - F.lag("diagonal").over(row) <= GAP
     group = F.sum(F.when(close, 0).otherwise(1)).over(row)
     merged = (
         diagonals.where(~F.col("base"))
@@ -119,7 +121,7 @@ def spans(hits: DataFrame) -> DataFrame:
         .groupBy("__doc", "__text", "template", "label", "base", "group")
         .agg(
             F.min("first").cast("long").alias("start"), (F.max("last") + K).cast("long").alias("end"),
-            (F.sum("votes") / F.first("size")).alias("cover"),
+            (F.bit_count(F.bit_or("places")) / F.first("size")).alias("cover"),
         )
         .drop("group")
     )
@@ -128,7 +130,8 @@ def spans(hits: DataFrame) -> DataFrame:
 
 def find_licenses(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    keyed = docs.withColumn(
+    own = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    keyed = docs.drop(*own).withColumn(
         "__doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     ).withColumn("__text", text_key(F.col("text")))
     hits = stage(votes(keyed, template_places(docs.sparkSession)), "license-hits")

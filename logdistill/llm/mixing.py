@@ -72,7 +72,8 @@ def mix_plan(
     ceiling: float = CEILING, seed: str = SEED,
 ) -> DataFrame:
     """Documents with ``size``, ``source_size``, ``target`` and ``copies`` to emit."""
-    sized = docs.withColumn("size", size_of(F.col("text")))
+    own = ("source_size", "target", "copies", "copy")
+    sized = docs.drop(*own).withColumn("size", size_of(F.col("text")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stage(source_targets(sizes, weights, share, ceiling), "targets")
     right = small_side(targets.withColumnRenamed("source", "__source"))

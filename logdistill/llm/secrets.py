@@ -39,20 +39,22 @@ class CharClass:
     bits: float
 
 
+# Digests announced as such are no secrets.
+_NO_DIGEST = r"(?<!(?:sha1|sha256|sha384|sha512|md5):)"
 CLASSES = (
-    CharClass("hex", r"(?<![0-9A-Za-z])(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{20,}(?![0-9A-Za-z])", 20, 2.9),
+    CharClass("hex", _NO_DIGEST + r"(?<![0-9A-Za-z])(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{20,}(?![0-9A-Za-z])", 20, 2.9),
     CharClass(
         "mixed",
-        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}",
+        _NO_DIGEST + r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}",
         20, 3.6,
     ),
     CharClass(
         "lower",
-        r"(?<![A-Za-z0-9+/_-])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.5,
+        _NO_DIGEST + r"(?<![A-Za-z0-9+/_-])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.5,
     ),
 )
 ALLOW = (
-    r"(?i)^(sha(1|256|384|512)|md5)[-:]",
+    r"(?i)^(sha(1|256|384|512)|md5)-",
     r"(?i)abcdefghij|0123456789|example|placeholder|lorem",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[A-Za-z/_-]+[0-9]{0,4}$",
