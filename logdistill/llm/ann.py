@@ -148,12 +148,15 @@ def nearest(
     levels = list(range(prefix, bits + 1))
 
     def count(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        strings, q = np.sort(data["h"].to_numpy()), queries["qh"].to_numpy()
+        strings = np.sort(data["h"].to_numpy(dtype=np.int64))
+        q = queries["qh"].to_numpy(dtype=np.int64)
         counts = np.zeros((len(q), len(levels)), dtype=np.int64)
         for j, level in enumerate(levels):
             low, high = _ranges(strings, q, level, bits)
             counts[:, j] = high - low
-        return pd.DataFrame({"query_id": queries["query_id"].to_numpy(), "counts": list(counts)})
+        asking = queries["query_id"].to_numpy(dtype=np.int64)
+        # Groups without a query give an empty column, which still holds lists.
+        return pd.DataFrame({"query_id": asking, "counts": pd.Series(list(counts), dtype=object)})
 
     descended = (
         entries.select(*keys, "h").groupBy(*keys)
@@ -170,8 +173,9 @@ def nearest(
     ascended = stage(totals.select("query_id", level.alias("level")), "levels")
 
     def search(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(data["h"].to_numpy(), kind="stable")
-        strings, ids = data["h"].to_numpy()[order], data["vec_id"].to_numpy()[order]
+        strings = data["h"].to_numpy(dtype=np.int64)
+        order = np.argsort(strings, kind="stable")
+        strings, ids = strings[order], data["vec_id"].to_numpy(dtype=np.int64)[order]
         found: list[tuple] = []
         if len(data) and len(queries):
             x = np.frombuffer(b"".join(data["vec"]), dtype=np.float64).reshape(len(data), -1)[order]
