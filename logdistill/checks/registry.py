@@ -28,7 +28,7 @@ from logdistill.operators import sampling as S
 from logdistill.operators import stats as ST
 from logdistill.operators import validate as VA
 from logdistill.operators import windows as W
-from logdistill.operators.common import new_path, spread_small
+from logdistill.operators.common import new_path
 from logdistill.plans import incident as I
 from logdistill.plans.reduce import reduce_events
 from logdistill.sources import events as SE
@@ -294,7 +294,7 @@ def r1_redact(spark, sf_dir):
     f"SELECT doc_id, {Q.redacted('text', ALL_PII)} AS text FROM documents",
 )
 def r1_redact_documents(spark, sf_dir):
-    docs = spread_small(V.table(spark, sf_dir, "documents"))
+    docs = V.table(spark, sf_dir, "documents")
     return E.redact(docs, ("text",), ALL_PII).select("doc_id", "text")
 
 
@@ -341,7 +341,7 @@ def r2_redaction_report(spark, sf_dir):
 
 @query("r2_redaction_report_documents", "WITH " + _report_sql("documents", "source", "text", ALL_PII))
 def r2_redaction_report_documents(spark, sf_dir):
-    docs = spread_small(V.table(spark, sf_dir, "documents"))
+    docs = V.table(spark, sf_dir, "documents")
     return E.redaction_report(docs, ("source",), "text", ALL_PII)
 
 
@@ -368,7 +368,7 @@ def n1_normalize(spark, sf_dir):
 
 @query("n1_normalize_documents", f"SELECT doc_id, {Q.normalized('text')} AS template FROM documents")
 def n1_normalize_documents(spark, sf_dir):
-    docs = spread_small(V.table(spark, sf_dir, "documents"))
+    docs = V.table(spark, sf_dir, "documents")
     return docs.select("doc_id", normalize_text(F.col("text")).alias("template"))
 
 
@@ -394,7 +394,7 @@ def n2_template_counts(spark, sf_dir):
     SELECT source, template, count(*) AS documents FROM t GROUP BY source, template""",
 )
 def n2_document_templates(spark, sf_dir):
-    docs = spread_small(V.table(spark, sf_dir, "documents")).select(
+    docs = V.table(spark, sf_dir, "documents").select(
         "source", F.col("text").alias("message")
     )
     mined = E.normalize(E.redact(docs))
@@ -677,12 +677,24 @@ def a12_eval_summary(spark, sf_dir):
 @query(
     "k3_rank_clusters",
     WITH_CLUSTERS + """ SELECT log_group, rank, cluster_id, event_count,
-      CAST(round(score * 10000) AS BIGINT) AS score_e4 FROM ranked WHERE rank <= 1000""",
+      CAST(round(score * 10000) AS BIGINT) AS score_e4 FROM ranked WHERE rank <= 50""",
 )
 def k3_rank_clusters(spark, sf_dir):
-    r = reduce_events(
-        errors(spark, sf_dir), GROUP, end_of_data(), Config(max_clusters=1000), keep_events=False
-    )
+    return _ranks(reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), keep_events=False))
+
+
+@query(
+    "k3_rank_all",
+    WITH_CLUSTERS + """ SELECT log_group, rank, cluster_id, event_count,
+      CAST(round(score * 10000) AS BIGINT) AS score_e4 FROM ranked""",
+)
+def k3_rank_all(spark, sf_dir):
+    """Every cluster has its rank when there is no budget."""
+    cfg = I.without_budget()
+    return _ranks(reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), cfg, keep_events=False))
+
+
+def _ranks(r) -> DataFrame:
     return r.clusters.select(
         "log_group", F.col("rank").cast("bigint").alias("rank"), "cluster_id", "event_count",
         scaled("score").alias("score_e4"),
@@ -985,9 +997,6 @@ def s3_raw_logs(spark, sf_dir):
         "name", F.concat("file", F.lit("#"), F.date_format(F.timestamp_micros("block"), "yyyy-MM-dd"))
     )
     path = new_path(spark, "raw")
-    if path is None:
-        named = lines.withColumn("file", F.col("name")).drop("name")
-        return RL.assemble_events(named).select("file", "event_no", "message", us("ts").alias("ts_us"))
     files = lines.withColumn("file", F.hex("name")).repartition("file")
     files = files.sortWithinPartitions("file", "row", "part")
     files.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
@@ -1053,7 +1062,9 @@ def j1_compare_windows_exact(spark, sf_dir):
     JOIN c ON n.log_group = c.log_group AND n.template = c.template AND n.exception_type IS NOT DISTINCT FROM c.exception_type
     WHERE n.side = 'comparison' AND NOT EXISTS (SELECT 1 FROM en o JOIN b ON o.log_group = b.log_group AND o.template = b.template
       AND o.exception_type IS NOT DISTINCT FROM b.exception_type WHERE o.side = 'baseline' AND o.log_group = n.log_group
-      AND o.template = n.template AND o.exception_type IS NOT DISTINCT FROM n.exception_type AND o.endpoint = n.endpoint)""",
+      AND o.template = n.template AND o.exception_type IS NOT DISTINCT FROM n.exception_type AND o.endpoint = n.endpoint)
+      AND EXISTS (SELECT 1 FROM e WHERE e.change <> 'stable' AND e.log_group = n.log_group AND e.template = n.template
+        AND e.exception_type IS NOT DISTINCT FROM n.exception_type)""",
 )
 def u3_new_endpoints(spark, sf_dir):
     return compared(spark, sf_dir, sides=V.BACKWARD_SQL).new_endpoints
@@ -1100,8 +1111,6 @@ def s5_write_report(spark, sf_dir):
     """The report table as JSON files, read back."""
     report = _cluster_rows(reduced(spark, sf_dir).summaries(), "log_group")
     path = new_path(spark, "report")
-    if path is None:
-        return report
     SE.write_report(report, path)
     return spark.read.schema(report.schema).json(path)
 

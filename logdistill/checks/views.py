@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logdistill.operators.common import spread_small, stage
+from logdistill.operators.common import stage
 
 LOGS_SQL = """
 SELECT event_id, ts,
@@ -92,7 +92,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        events = spread_small(table(spark, sf_dir, "events"))
+        # Messages are much wider than the events they are made of.
+        events = table(spark, sf_dir, "events").repartition("event_id")
         braces = LOGS_SQL.replace("{", "{{").replace("}", "}}")
         view = spark.sql(braces.replace("FROM events", "FROM {events}"), events=events)
         _STAGED[key] = stage(view.withColumn("ts", F.col("ts").cast("timestamp")), "logs")

@@ -160,6 +160,6 @@ RECENCY_SPAN_SECONDS = 3600.0
 TIMELINE_BIN_MINUTES = (1, 2, 5, 10, 15, 30, 60)
 TIMELINE_WIDEST_BIN = 120
 TIMELINE_MAX_BINS = 24
-CALM_SUMMARY = "No matching error events were found in this window."
+CALM_SUMMARY = "Nothing went wrong here as far as the given filters reach."
 ANALYSIS_OPERATIONS = ("analyze_incident", "search_errors")
 MODEL_OPERATION = "llm_analyze"

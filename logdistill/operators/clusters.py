@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logdistill.functions import patterns as P
 from logdistill.functions.text import non_empty, not_blank
-from logdistill.operators.common import CLUSTER_KEY, null_safe_join
+from logdistill.operators.common import CLUSTER_KEY, null_safe_join, numbered
 
 SIGNATURE_COLUMNS = (
     "is_blank", "exception_type", "template", "fingerprint", "endpoint", "status_code", "level",
@@ -144,21 +144,29 @@ def score_clusters(clusters: DataFrame, scope: Sequence[str], window_end: Column
     return null_safe_join(clusters, top, scope).withColumn("score", F.round(score, 4))
 
 
+def best_first() -> list[Column]:
+    return [F.desc("score"), F.desc("event_count"), *[F.asc(c) for c in ("cluster_id", *CLUSTER_KEY)]]
+
+
 def ranking(scope: Sequence[str]):
-    return Window.partitionBy(*scope).orderBy(
-        F.desc("score"), F.desc("event_count"), "cluster_id", *CLUSTER_KEY
-    )
+    return Window.partitionBy(*scope).orderBy(*best_first())
 
 
 def rank_clusters(scored: DataFrame, scope: Sequence[str], budget: int | None) -> DataFrame:
     """Keep the ``budget`` best clusters of every scope with their ``rank``.
 
     The rank filter is applied per task before the shuffle, so a scope with very many
-    clusters sends only its candidates.  Without a budget all clusters stay and no
-    rank is assigned; order by ``score`` for a distributed sort.
+    clusters sends only its candidates.  Without a budget all clusters stay: they are
+    numbered in range partitions, and the first number of each scope is taken off.
     """
     if budget is None:
-        return scored
+        at = numbered(scored, [*[F.asc(c) for c in scope], *best_first()], "__number")
+        first = at.groupBy(*scope).agg(F.min("__number").alias("__first"))
+        return (
+            null_safe_join(at, first, scope)
+            .withColumn("rank", (F.col("__number") - F.col("__first") + 1).cast("int"))
+            .drop("__number", "__first")
+        )
     return scored.withColumn("rank", F.row_number().over(ranking(scope))).where(
         F.col("rank") <= budget
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -29,36 +30,63 @@ def null_safe_join(
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__{k}" for k in keys])
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
+# Folders of local sessions that set none, by application.
+_LOCAL: dict[str, str] = {}
 
 
-def new_path(spark: SparkSession, label: str) -> str | None:
-    """A fresh path in the shared folder, or null when there is none."""
-    root = checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/logdistill-{label}-{uuid.uuid4().hex}" if root else None
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; local sessions without one get a folder of their own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or tempfile.mkdtemp(prefix="logdistill-")
+        _LOCAL[app] = root
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/logdistill-{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table used by several branches once to the cluster's shared folder.
 
     Later branches then read only the columns they need from Parquet and do not
-    depend on executors that may be gone.  Without ``spark.checkpoint.dir`` the
-    DataFrame is returned as it is and simply recomputed.
+    depend on executors that may be gone.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    if path is None:
-        return df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input over the cores when its files give fewer tasks than there are cores.
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add row numbers from 0 in the given order without sorting in one task.
 
-    A single small file is one task, and everything up to the first shuffle would run
-    in it.  Inputs with enough splits are returned untouched.
+    Rows are range-partitioned and numbered within their partition; what reaches the
+    driver is one count per partition.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stage(
+        df.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("__at", F.monotonically_increasing_id()),
+        "numbered",
+    )
+    part = F.shiftright("__at", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, before = [], 0
+    for row in sorted(sizes, key=lambda r: r["part"]):
+        offsets.append((row["part"], before))
+        before += row["n"]
+    table = spark.createDataFrame(offsets, "__part long, __before long")
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        ranged.join(F.broadcast(table), part == F.col("__part"))
+        .withColumn(name, F.col("__before") + inside)
+        .drop("__at", "__part", "__before")
+    )

@@ -25,8 +25,7 @@ def cluster_deltas(ranked: DataFrame, scope: Sequence[str], keep_stable: bool =
         here = F.col("side") == side
         sided[f"{side}_count"] = F.max(F.when(here, F.col("event_count")))
         sided[f"{side}_id"] = F.max(F.when(here, F.col("cluster_id")))
-        if "rank" in ranked.columns:
-            sided[f"{side}_rank"] = F.max(F.when(here, F.col("rank")))
+        sided[f"{side}_rank"] = F.max(F.when(here, F.col("rank")))
     both = ranked.groupBy(*scope, *CLUSTER_KEY).agg(*[e.alias(n) for n, e in sided.items()])
     before, after = F.col("baseline_count"), F.col("comparison_count")
     ratio = after / before
@@ -52,10 +51,11 @@ def cluster_deltas(ranked: DataFrame, scope: Sequence[str], keep_stable: bool =
 def new_endpoints(
     endpoints: DataFrame, ranked: DataFrame, scope: Sequence[str]
 ) -> DataFrame:
-    """Endpoints a cluster hits in the comparison window only, one row each.
+    """Endpoints that a changed cluster hits in the comparison window only, one row each.
 
     Long form, because a cluster may have any number of endpoints; only endpoints of
-    clusters within each side's budget take part.
+    clusters within each side's budget take part, and only clusters that are reported
+    as new, increased or decreased.
     """
     key = [*scope, *CLUSTER_KEY]
     kept = ranked.select(*key, "side")
@@ -64,4 +64,5 @@ def new_endpoints(
         F.max(F.col("side") == "baseline").alias("before"),
         F.max(F.col("side") == "comparison").alias("after"),
     )
-    return sides.where(F.col("after") & ~F.col("before")).drop("before", "after")
+    fresh = sides.where(F.col("after") & ~F.col("before")).drop("before", "after")
+    return null_safe_join(fresh, cluster_deltas(ranked, scope).select(*key), key, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logdistill.config import DEFAULTS, Config
@@ -36,7 +36,8 @@ def extract_fields(events: DataFrame) -> DataFrame:
     """Level, ids, service, endpoint and status candidates from JSON messages.
 
     Runs on the raw message.  The parsed object itself is not kept: the six values
-    are all the later passes need.
+    are all the later passes need.  Tables that already state a level, an id or a
+    service keep their own value where there is one.
     """
     fields = "parsed_fields"
     values = {
@@ -49,10 +50,19 @@ def extract_fields(events: DataFrame) -> DataFrame:
     }
     # One branch for all keys, so that plain text messages skip them together.
     found = F.when(F.col(fields).isNotNull(), F.struct(*[v.alias(n) for n, v in values.items()]))
+    stated = [n for n in values if n in events.columns]
+
+    def value(name: str) -> Column:
+        inside = F.col(f"__json.{name}")
+        if name not in stated or name.startswith("json_"):
+            return inside.alias(name)
+        own = non_empty(F.col(name).cast("string"))
+        return F.coalesce(F.upper(own) if name == "level" else own, inside).alias(name)
+
     return (
         parse_json_message(events)
         .withColumn("__json", found)
-        .select(*events.columns, *[F.col(f"__json.{n}").alias(n) for n in values])
+        .select(*[c for c in events.columns if c not in stated], *[value(n) for n in values])
     )
 
 

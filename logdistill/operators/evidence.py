@@ -115,9 +115,9 @@ def build_evidence(
     note = F.when(
         F.col("covered_from").isNotNull(),
         F.concat(
-            F.lit("event sample truncated by query limit; sampled events only cover "),
+            F.lit("retrieval stopped at its limit: examples start at "),
             iso(F.col("covered_from")),
-            F.lit(" onward, but the volume timeline covers the full window"),
+            F.lit("; counts per time bin are complete"),
         ),
     )
 

@@ -167,6 +167,9 @@ def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) ->
     """
     message = F.col("message")
     if not isinstance(request_ids, DataFrame):
+        request_ids = [i for i in request_ids if i]
+        if not request_ids:
+            return events.withColumn("wanted_id", F.lit(None).cast("string")).where(F.lit(False))
         found = F.array_compact(
             F.array(*[F.when(message.contains(i), F.lit(i)) for i in dict.fromkeys(request_ids)])
         )

@@ -35,7 +35,7 @@ def reduction_stats(
         .agg(F.count(F.lit(1)).alias("clusters"))
     )
     shown = F.least(F.col("event_count"), F.lit(cfg.max_examples))
-    sent = F.col("rank") <= cfg.evidence_clusters if "rank" in ranked.columns else F.lit(True)
+    sent = F.col("rank") <= cfg.evidence_clusters
     budget = ranked.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("clusters_after_budget"),
         F.count_if(sent).alias("clusters_in_evidence"),

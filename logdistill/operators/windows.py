@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from logdistill.operators.filters import is_allowed
 MINUTE_US = 60_000_000
 # Above this many (window, bucket) rows the windows are shuffled, not broadcast.
 BROADCAST_WINDOW_ROWS = 200_000
+# Up to this many group names go into the scan's filter.
+PUSHED_GROUPS = 200
 
 
 def check_windows(
@@ -66,16 +70,48 @@ def split_window(windows: DataFrame, pieces: Column | int) -> DataFrame:
     )
 
 
-def bucket_micros(windows: DataFrame) -> tuple[int, int]:
-    """Bucket width near the mean window span, and how many rows the windows then take.
+@dataclass(frozen=True)
+class WindowFacts:
+    """Bucket width near the mean span, rows the windows then take, and their extent."""
 
-    One aggregate row comes back; with the mean span as width the windows explode to
-    at most three rows each on average, however long or short they are.
+    width: int
+    rows: int
+    start: datetime | None
+    end: datetime | None
+    groups: list[str] | None
+
+
+def window_facts(windows: DataFrame) -> WindowFacts:
+    """What the join with events needs to know of the windows, in one aggregate row.
+
+    With the mean span as bucket width the windows explode to at most three rows each on
+    average, however long or short they are.  Group names come back only if they are few.
     """
     span = F.unix_micros("window_end") - F.unix_micros("window_start")
-    row = windows.agg(F.count(F.lit(1)).alias("n"), F.avg(span).alias("span")).first()
+    row = windows.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(span).alias("span"),
+        F.min("window_start").alias("start"), F.max("window_end").alias("end"),
+        F.count_distinct("log_group").alias("groups"),
+    ).first()
+    groups = None
+    if row["groups"] <= PUSHED_GROUPS:
+        names = windows.select("log_group").where(F.col("log_group").isNotNull()).distinct()
+        groups = sorted(r[0] for r in names.limit(PUSHED_GROUPS).collect())
     width = max(MINUTE_US, int(row["span"] or 0))
-    return width, 3 * int(row["n"])
+    return WindowFacts(width, 3 * int(row["n"]), row["start"], row["end"], groups)
+
+
+def within(events: DataFrame, facts: WindowFacts) -> DataFrame:
+    """Events in the extent of all windows, by literals that reach the scan.
+
+    The time range prunes row groups, the group names prune partitions.
+    """
+    if facts.start is None or facts.end is None:
+        return events.where(F.lit(False))
+    inside = (F.col("ts") >= F.lit(facts.start)) & (F.col("ts") < F.lit(facts.end))
+    if facts.groups is not None:
+        inside = inside & F.col("log_group").isin(facts.groups)
+    return events.where(inside)
 
 
 def events_in_windows(
@@ -89,7 +125,9 @@ def events_in_windows(
     a larger one goes through a sort-merge join, whose hot buckets the adaptive
     skew handling splits.
     """
-    width, rows = (bucket_us, None) if bucket_us else bucket_micros(windows)
+    facts = window_facts(windows)
+    width, rows = bucket_us or facts.width, None if bucket_us else facts.rows
+    events = within(events, facts)
     first = F.floor(F.unix_micros("window_start") / width)
     last = F.floor((F.unix_micros("window_end") - 1) / width)
     spread = (

@@ -14,11 +14,18 @@ from logdistill.operators import compare as D
 from logdistill.operators.common import null_safe_join
 from logdistill.operators.evidence import build_comparison_evidence, build_evidence
 from logdistill.operators.filters import contains_filters, level_filter
-from logdistill.operators.retrieve import dedupe_events, volume_timeline
+from logdistill.operators.retrieve import (
+    dedupe_events,
+    trace_requests,
+    trace_totals,
+    volume_timeline,
+)
 from logdistill.operators.stats import window_profile
-from logdistill.operators.windows import events_in_windows
+from logdistill.operators.windows import check_windows, events_in_windows
 from logdistill.plans.reduce import Reduction, reduce_events
 
+# More than any window spans, yet small enough to count in microseconds.
+ANY_MINUTES = 10**11
 WINDOW_SCOPE = ("window_id", "log_group", "window_start", "window_end")
 
 
@@ -49,20 +56,40 @@ def matching_events(
     return events_in_windows(wanted, windows.select(*WINDOW_SCOPE, *extra))
 
 
+def checked_windows(
+    windows: DataFrame, cfg: Config, allowlist: Sequence[str] | None, max_minutes: int | None
+) -> DataFrame:
+    """Windows with ``invalid_reason``; the span is bounded only where a bound is given."""
+    longest = max_minutes if max_minutes is not None else ANY_MINUTES
+    return check_windows(windows, replace(cfg, max_window_minutes=longest), allowlist)
+
+
 def _report(
-    events: DataFrame, windows: DataFrame, cfg: Config, top: int | None, status: str, **filters
+    events: DataFrame,
+    windows: DataFrame,
+    cfg: Config,
+    top: int | None,
+    status: str,
+    allowlist: Sequence[str] | None = None,
+    max_minutes: int | None = None,
+    **filters,
 ) -> IncidentReport:
-    matched = matching_events(events, windows, **filters)
+    checked = checked_windows(windows, cfg, allowlist, max_minutes)
+    # Rejected windows are never joined with events.
+    matched = matching_events(events, checked.where(F.col("invalid_reason").isNull()), **filters)
     timeline = volume_timeline(matched, WINDOW_SCOPE)
     unique = dedupe_events(matched, WINDOW_SCOPE)
     r = reduce_events(unique, WINDOW_SCOPE, F.col("window_end"), cfg)
     # Windows without a matching event get the calm row.
-    calm = F.col("events_after_filtering").isNull() | (F.col("clusters") == 0)
-    overview = null_safe_join(windows.select(*WINDOW_SCOPE), r.stats, WINDOW_SCOPE, "left").withColumns(
+    rejected = F.col("invalid_reason").isNotNull()
+    none = F.col("events_after_filtering").isNull() | (F.col("clusters") == 0)
+    calm = none & ~rejected
+    asked = checked.select(*WINDOW_SCOPE, "invalid_reason")
+    overview = null_safe_join(asked, r.stats, WINDOW_SCOPE, "left").withColumns(
         {
             "summary": F.when(calm, F.lit(P.CALM_SUMMARY)),
             "severity": F.when(calm, F.lit("low")),
-            "status": F.when(calm, F.lit("ok")).otherwise(F.lit(status)),
+            "status": F.when(rejected, "rejected").when(calm, "ok").otherwise(F.lit(status)),
         }
     )
     counts = [
@@ -76,14 +103,23 @@ def _report(
 
 
 def analyze(
-    events: DataFrame, windows: DataFrame, cfg: Config = DEFAULTS, service: str | None = None
+    events: DataFrame,
+    windows: DataFrame,
+    cfg: Config = DEFAULTS,
+    service: str | None = None,
+    allowlist: Sequence[str] | None = None,
+    max_minutes: int | None = None,
 ) -> IncidentReport:
     """The deterministic report of every window: filter, timeline, dedup, reduce, top clusters.
 
     No model runs here, so windows with clusters have status ``unavailable``; the
-    evidence documents are what a model would be given.
+    evidence documents are what a model would be given.  Windows without bounds, with
+    an end not after the start, of a log group outside ``allowlist`` or longer than
+    ``max_minutes`` have status ``rejected`` and an ``invalid_reason``.
     """
-    return _report(events, windows, cfg, cfg.report_clusters, "unavailable", service=service)
+    return _report(
+        events, windows, cfg, cfg.report_clusters, "unavailable", allowlist, max_minutes, service=service
+    )
 
 
 def search_errors(
@@ -94,11 +130,42 @@ def search_errors(
     exception_type: str | None = None,
     status_code: int | None = None,
     text: str | None = None,
+    allowlist: Sequence[str] | None = None,
+    max_minutes: int | None = None,
 ) -> IncidentReport:
     """As ``analyze`` with more filters, listing every cluster within the budget."""
     return _report(
-        events, windows, cfg, None, "ok", service=service, exception_type=exception_type,
-        status_code=status_code, text=text,
+        events, windows, cfg, None, "ok", allowlist, max_minutes, service=service,
+        exception_type=exception_type, status_code=status_code, text=text,
+    )
+
+
+@dataclass(frozen=True)
+class Traces:
+    """First events and totals of requests per window, and the windows not looked at."""
+
+    events: DataFrame
+    totals: DataFrame
+    rejected: DataFrame
+
+
+def trace_in_windows(
+    events: DataFrame,
+    request_ids: DataFrame | Sequence[str],
+    windows: DataFrame,
+    cfg: Config = DEFAULTS,
+    allowlist: Sequence[str] | None = None,
+    max_minutes: int | None = None,
+) -> Traces:
+    """Follow requests inside windows; only the windows' time range is read."""
+    checked = checked_windows(windows, cfg, allowlist, max_minutes)
+    base = events.select("log_group", "log_stream", "ts", "message")
+    valid = checked.where(F.col("invalid_reason").isNull()).select(*WINDOW_SCOPE)
+    inside = events_in_windows(base, valid)
+    return Traces(
+        trace_requests(inside, request_ids, WINDOW_SCOPE, cfg),
+        trace_totals(inside, request_ids, WINDOW_SCOPE, cfg),
+        checked.where(F.col("invalid_reason").isNotNull()).select(*WINDOW_SCOPE, "invalid_reason"),
     )
 
 
@@ -127,6 +194,7 @@ class Comparison:
     reduction: Reduction
     scope: tuple[str, ...]
     cfg: Config
+    rejected: DataFrame
 
     def evidence(self) -> DataFrame:
         return build_comparison_evidence(self.profiles, self.deltas, self.scope, self.cfg)
@@ -138,6 +206,8 @@ def compare_windows(
     scope: Sequence[str] = ("log_group",),
     cfg: Config = DEFAULTS,
     service: str | None = None,
+    allowlist: Sequence[str] | None = None,
+    max_minutes: int | None = None,
 ) -> Comparison:
     """Compare the clusters of ``baseline`` and ``comparison`` windows of every scope.
 
@@ -145,18 +215,15 @@ def compare_windows(
     an event may fall into both.  No dedup.  ``max_clusters=None`` in the configuration
     compares all clusters instead of each side's best.
     """
-    matched = matching_events(events, windows, ("side",), service=service)
+    checked = checked_windows(windows, cfg, allowlist, max_minutes)
+    valid = checked.where(F.col("invalid_reason").isNull())
+    matched = matching_events(events, valid, ("side",), service=service)
     full = [*scope, "side", "window_start", "window_end"]
     r = reduce_events(matched, full, F.col("window_end"), cfg, keep_events=False)
     bounds = ("window_start", "window_end")
     ranked = r.clusters.drop(*bounds)
     sided = [*scope, "side"]
-    by_rank = ranked
-    if cfg.max_clusters is None:
-        from logdistill.operators.clusters import rank_clusters
-
-        by_rank = rank_clusters(ranked, sided, cfg.report_clusters)
-    profiles = window_profile(r.stats.drop(*bounds), by_rank, sided, cfg.report_clusters)
+    profiles = window_profile(r.stats.drop(*bounds), ranked, sided, cfg.report_clusters)
     return Comparison(
         D.cluster_deltas(ranked, scope),
         D.new_endpoints(r.endpoints.drop(*bounds), ranked, scope),
@@ -164,6 +231,7 @@ def compare_windows(
         r,
         tuple(scope),
         cfg,
+        checked.where(F.col("invalid_reason").isNotNull()).select(*WINDOW_SCOPE, "side", "invalid_reason"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from conftest import SF
 from pyspark.sql import functions as F
-from scenarios import SCHEMA, START, event, outage
+from scenarios import SCHEMA, START, event, locked
 
 from logdistill.checks import registry as G
 from logdistill.checks import views as V
@@ -33,8 +33,8 @@ def test_time_filter_and_columns_reach_the_scan(spark, tmp_path):
     from logdistill.operators.filters import contains_filters, level_filter, time_window
 
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    spark.createDataFrame(outage(10), SCHEMA).write.parquet(str(tmp_path / "e"))
-    df = time_window(spark.read.parquet(str(tmp_path / "e")), "2026-09-03 14:00:00", "2026-09-03 15:00:00")
+    spark.createDataFrame(locked(10), SCHEMA).write.parquet(str(tmp_path / "e"))
+    df = time_window(spark.read.parquet(str(tmp_path / "e")), "2025-02-17 05:00:00", "2025-02-17 06:00:00")
     text = plan(contains_filters(level_filter(df), text="boom").select("ts"))
     assert "GreaterThanOrEqual(ts" in text and "StringContains(message,boom)" in text
     assert "log_stream" not in text.split("ReadSchema")[1]
@@ -45,13 +45,40 @@ def test_ranking_limits_each_task(spark):
     assert "WindowGroupLimit" in plan(C.rank_clusters(df, ("log_group",), 50))
 
 
-def test_without_a_shared_folder_nothing_is_written(spark, monkeypatch):
-    monkeypatch.setattr(common, "checkpoint_dir", lambda s: None)
-    df = spark.range(3)
-    assert common.stage(df, "x") is df
-    want = sorted(map(str, G.reduced(spark, SF).clusters.collect()))
-    monkeypatch.undo()
-    assert sorted(map(str, G.reduced(spark, SF).clusters.collect())) == want
+def test_a_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    class Context:
+        master, applicationId = "yarn", "app"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    try:
+        common.checkpoint_dir(Session())
+        raise AssertionError("a cluster without a shared folder was accepted")
+    except ValueError:
+        pass
+    Context.master = "local[2]"
+    assert common.checkpoint_dir(Session()) == common.checkpoint_dir(Session())
+
+
+def test_window_extent_reaches_the_scan(spark, tmp_path):
+    from datetime import timedelta
+
+    from logdistill.operators.windows import events_in_windows
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    path = str(tmp_path / "parts")
+    spark.createDataFrame(locked(10), SCHEMA).write.partitionBy("log_group").parquet(path)
+    windows = spark.createDataFrame(
+        [("w", "/app/x", START, START + timedelta(hours=1))],
+        "window_id string, log_group string, window_start timestamp, window_end timestamp",
+    )
+    text = plan(events_in_windows(spark.read.parquet(path), windows))
+    assert "GreaterThanOrEqual(ts,2025-02-17" in text and "LessThan(ts,2025-02-17" in text
+    assert "log_group" in text.split("PartitionFilters")[1].split("]")[0]
 
 
 def test_cluster_counts_add_up(spark):
@@ -65,7 +92,7 @@ def test_cluster_counts_add_up(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = outage(60) + outage(60) + [event(START, "ERROR GET /a/1 XError: y")]
+    rows = locked(60) + locked(60) + [event(START, "ERROR GET /a/1 XError: y")]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
 

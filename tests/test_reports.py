@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from scenarios import END, SCHEMA, START, event, outage
+from scenarios import END, SCHEMA, START, event, locked
 
 from logdistill.config import Config
 from logdistill.operators import evidence as EV
@@ -213,9 +213,9 @@ def test_scores_and_medians(spark):
 
 
 def test_volume_reduction(spark, busy):
-    events = spark.createDataFrame(outage(200), SCHEMA)
+    events = spark.createDataFrame(locked(200), SCHEMA)
     report = spark.createDataFrame([("/app/x", "y" * 1000)], "log_group string, evidence string")
     row = volume_reduction(events, report, SCOPE).first()
-    dump = "\n".join(f"[2026-09-03 14:00:00.000] {m}" for *_, m in outage(200))
+    dump = "\n".join(f"[2025-02-17 05:00:00.000] {m}" for *_, m in locked(200))
     assert row.raw_chars == len(dump) and row.report_tokens == 250
     assert row.percent_saved == pytest.approx(round((1 - 1000 / len(dump)) * 100, 2))

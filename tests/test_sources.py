@@ -5,7 +5,7 @@ import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
-from scenarios import POOL_TRACE
+from scenarios import JOURNAL_TRACE
 
 from logdistill.functions import patterns as P
 from logdistill.plans.incident import analyze_events
@@ -70,7 +70,7 @@ def test_raw_files_across_splits(spark, tmp_path):
     for i in range(120):
         stamp = f"2026-09-03 14:{i % 60:02d}:00,{i:03d}"
         lines.append(f"{stamp} ERROR job {i} failed")
-        lines += POOL_TRACE.split("\n") if i % 3 == 0 else []
+        lines += JOURNAL_TRACE.split("\n") if i % 3 == 0 else []
         lines += [""] if i % 5 == 0 else ["plain text goes on", "INFO own event"]
     lines += ["[Sun Dec 04 06:01:30 2005] [error] late", "form\x0cfeed line", "x" * 3000, "tail"]
     text = "\n".join(lines) + "\n"
@@ -108,7 +108,7 @@ def test_raw_times(spark):
 
 
 def test_offline_path(spark, tmp_path):
-    (tmp_path / "app.log").write_text(f"2026-09-03 14:00:00 ERROR x\n{POOL_TRACE}\n2026-09-03 14:05:00 INFO fine\n")
+    (tmp_path / "app.log").write_text(f"2026-09-03 14:00:00 ERROR x\n{JOURNAL_TRACE}\n2026-09-03 14:05:00 INFO fine\n")
     reduction, windows = analyze_events(RL.read_raw_logs(spark, str(tmp_path / "app.log")))
     assert windows.first().window_end == datetime(2026, 9, 3, 14, 5, 1)
-    assert {c.exception_type for c in reduction.clusters.collect()} == {"ServerSelectionTimeout", None}
+    assert {c.exception_type for c in reduction.clusters.collect()} == {"SegmentLockFailure", None}

@@ -1,7 +1,14 @@
+"""Stack traces, JSON fields, enrichment, fingerprints and times."""
+
 from __future__ import annotations
 
+import hashlib
+import json
+from datetime import UTC, datetime
+
+import pytest
 from pyspark.sql import functions as F
-from scenarios import CHAINED_TRACE, POOL_TRACE, SCHEMA, START, event
+from scenarios import JOURNAL_TRACE, RELAY_TRACE, SCHEMA, START, event
 
 from logdistill.functions import fields as X
 from logdistill.functions.text import fingerprint
@@ -9,112 +16,130 @@ from logdistill.functions.traces import parse_trace
 from logdistill.operators import enrich as E
 
 
-def parsed(spark, text):
-    df = spark.createDataFrame([(text,)], "m string")
-    return df.select(parse_trace(F.col("m")).alias("t")).first()["t"]
-
-
-def test_single_trace(spark):
-    trace = parsed(spark, "ERROR boom\n" + POOL_TRACE)
-    assert len(trace) == 1
-    assert trace[0]["exception_type"] == "ServerSelectionTimeout"
-    assert trace[0]["exception_message"].startswith("no members")
-    frames = trace[0]["frames"]
-    assert (frames[0]["file"], frames[0]["line"], frames[0]["function"]) == ("/srv/pay/db.py", 42, "connection")
-    assert frames[-1]["function"] == "take"
-
-
-def test_chain_is_outermost_first(spark):
-    trace = parsed(spark, CHAINED_TRACE)
-    assert [e["exception_type"] for e in trace] == ["DatabaseError", "ConnectionRefusedError"]
+def traces(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, m string").orderBy("i")
+    return [r["t"] for r in df.select(parse_trace(F.col("m")).alias("t")).collect()]
 
 
-def test_texts_without_trace(spark):
-    assert parsed(spark, "plain ERROR message") is None
-    assert parsed(spark, "Traceback (most recent call last):\nno frames\nValueError: x") is None
-    indented = "  " + POOL_TRACE
-    assert parsed(spark, indented) is None
-
-
-def test_exception_lines_without_frames_are_text(spark):
-    text = (
-        "Traceback (most recent call last):\nOldError: early\n"
-        '  File "a.py", line 1\nFirstError\nSecondError: no frame\n  File "b.py", line 2, in f\nThirdError: x: y'
-    )
-    trace = parsed(spark, text)
-    assert [(e["exception_type"], e["exception_message"]) for e in trace] == [
-        ("ThirdError", "x: y"), ("FirstError", ""),
+def test_frames_of_both_kinds(spark):
+    journal, relay = traces(spark, f"some words\n{JOURNAL_TRACE}", RELAY_TRACE)
+    (only,) = journal
+    assert (only["exception_type"], only["exception_message"]) == ("SegmentLockFailure", "day file is held by another writer")
+    assert [(f["file"].rsplit("/")[-1], f["line"], f["function"]) for f in only["frames"]] == [
+        ("uplink.py", 311, "flush"), ("journal.py", 77, "open_segment"), ("journal.py", 140, "_lock"),
     ]
-    assert trace[1]["frames"][0]["function"] is None
+    # The last raised exception stands first, the root cause last.
+    assert [(t["exception_type"], len(t["frames"])) for t in relay] == [("RelayFailure", 1), ("CarrierFault", 1)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "",
+        "ERROR SegmentLockFailure: no frames at all",
+        JOURNAL_TRACE.replace("Traceback (most", "traceback (most"),
+        JOURNAL_TRACE.replace("\n", "\n> ").replace("Traceback", "> Traceback"),
+    ],
+)
+def test_no_trace(spark, text):
+    assert traces(spark, text) == [None]
+
+
+def test_loose_lines_inside_a_trace(spark):
+    head = "Traceback (most recent call last):"
+    text = "\n".join(
+        [head, "EarlyFault: before any frame", '  File "tide.py", line 9', "MidFault", "note to self",
+         '  File "moon.py", line 8, in pull', "LateFault: a: b"]
+    )
+    late, mid = traces(spark, text)[0]
+    assert (late["exception_type"], late["exception_message"]) == ("LateFault", "a: b")
+    assert (mid["exception_type"], mid["exception_message"], mid["frames"][0]["function"]) == ("MidFault", "", None)
 
 
-def test_json_fields_keep_types(spark):
-    rows = [
-        ('{"level":"warn","request_id":7,"req_id":"r1","service":"","app":"pay","status":"0502"}',),
-        ('  {"severity":"Error","path":"no","route":"/o/12","status":502.0,"statusCode":404}\n',),
-        ('{"status":true,"http_status":"5x","response_code":700} tail',),
-        ('{"status": 99, "level": {"a": 1}}',),
-        ("{broken}",),
-        ("[1]",),
-    ]
-    df = E.parse_json_message(spark.createDataFrame(rows, "message string"))
-    out = [
+def fields_of(spark, *objects):
+    texts = [o if isinstance(o, str) else json.dumps(o) for o in objects]
+    df = E.parse_json_message(spark.createDataFrame(list(enumerate(texts)), "i int, message string")).orderBy("i")
+    return [
         tuple(r)
         for r in df.select(
-            X.first_string("parsed_fields", ("level", "severity")),
-            X.first_string("parsed_fields", ("request_id", "req_id")),
-            X.first_string("parsed_fields", ("service", "app")),
-            X.json_endpoint("parsed_fields"),
-            X.json_status("parsed_fields"),
+            X.first_string("parsed_fields", ("severity", "level")),
+            X.first_string("parsed_fields", ("trace", "trace_id")),
+            X.json_endpoint("parsed_fields"), X.json_status("parsed_fields"),
         ).collect()
     ]
-    assert out[0] == ("warn", "r1", "pay", None, 502)
-    assert out[1] == ("Error", None, None, "/o/12", 404)
-    assert out[2:] == [(None,) * 5] * 4
 
 
-def test_redaction_covers_top_level_strings_only(spark):
-    text = '{"note":"api_key=abc123secret","n":3,"deep":{"password":"password=keepme1"}}'
-    df = E.redact(E.parse_json_message(spark.createDataFrame([(text,)], "message string")))
-    row = df.select(
-        F.to_json(F.col("parsed_fields")).alias("f"), "message"
-    ).first()
-    assert "abc123secret" not in row["f"] and "keepme1" in row["f"] and '"n":3' in row["f"]
-    assert "abc123secret" not in row["message"]
-
-
-def test_enrich(spark):
-    rows = [
-        event(START, "ERROR POST /checkout status=502 TimeoutError: db down"),
-        event(START, '{"level":"warn","path":"/order/42/x","status":"503","msg":"DbError: gone"}'),
-        event(START, "WARN GET /stock/7 Status Code: 404 fine"),
-        event(START, "ERROR GET /stock/7\n" + CHAINED_TRACE),
-    ]
-    out = E.prepare(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert [(r.endpoint, r.status_code, r.level, r.exception_type) for r in out] == [
-        ("/checkout", 502, "ERROR", "TimeoutError"),
-        ("/order/<id>/x", 503, "WARN", "DbError"),
-        ("/stock/<id>", 404, "WARNING", None),
-        ("/stock/<id>", None, "ERROR", "ConnectionRefusedError"),
-    ]
-    assert out[3].template == "ConnectionRefusedError: [Errno <ID>] refused"
-
+def test_json_fields(spark):
+    got = fields_of(
+        spark,
+        {"severity": "", "level": "Notice", "trace": 12, "trace_id": "t-12"},
+        {"path": "readings", "route": "/readings/7", "status": "0207"},
+        {"status": 206.0, "statusCode": 507},
+        {"status": False, "level": ["x"]},
+        {"status": 600},
+        '{"severity": "cut off"',
+        '["severity"]',
+        '{"severity":"x"} and more',
+    )
+    assert got[0] == ("Notice", "t-12", None, None)
+    assert got[1] == (None, None, "/readings/7", 207)
+    assert got[2] == (None, None, None, 507)
+    assert got[3:] == [(None,) * 4] * 5
 
-def test_fingerprint_parts(spark):
-    import hashlib
 
-    df = spark.createDataFrame([("a", None, 5)], "x string, y string, z int")
-    got = df.select(fingerprint(F.col("x"), F.col("y"), F.col("z"))).first()[0]
-    assert got == hashlib.sha256(b"a\n\n5").hexdigest()[:16]
+def test_redaction_of_parsed_fields(spark):
+    text = json.dumps({"memo": "pwd=ebb12345", "n": 12, "inner": {"pwd": "pwd=flow6789"}})
+    row = E.redact(E.parse_json_message(spark.createDataFrame([(text,)], "message string"))).select(
+        F.to_json("parsed_fields").alias("kept"), "message"
+    ).first()
+    assert "ebb12345" not in row["kept"] + row["message"]
+    assert "flow6789" in row["kept"] and '"n":12' in row["kept"]
 
 
-def test_times(spark):
-    texts = [
-        "2026-09-03 14:00:01.250", "2026-09-03 14:00:01", "2026-09-03T14:00:01Z",
-        "2026-09-03T16:00:01+02:00", "2026-09-03", "yesterday", "2026-13-03 10:00:00", "2026",
+def test_enrichment(spark):
+    rows = [
+        event(START, "FATAL PUT /readings/wave status=507 DiskFailure: 0 bytes"),
+        event(START, json.dumps({"severity": "warning", "route": "/relays/31/on", "http_status": "409", "m": "Clash: x"})),
+        event(START, "ERROR DELETE /readings/12\n" + RELAY_TRACE),
+        event(START, "nothing to see"),
     ]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
-    us = [r[0] for r in df.select(F.unix_micros(X.parse_utc(F.col("t")))).collect()]
-    base = int(START.timestamp()) * 1_000_000
-    assert us[:4] == [base + 1_250_000, base + 1_000_000, base + 1_000_000, base + 1_000_000]
-    assert us[4] == base - 14 * 3600 * 1_000_000 and us[5:] == [None] * 3
+    got = {r.message[:6]: r for r in E.prepare(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got["FATAL "].endpoint, got["FATAL "].status_code, got["FATAL "].exception_type) == ("/readings/wave", 507, "DiskFailure")
+    chained = got["ERROR "]
+    assert (chained.endpoint, chained.exception_type) == ("/readings/<id>", "CarrierFault")
+    assert chained.template == "CarrierFault: antenna below 9 dB"
+    calm = got["nothin"]
+    assert (calm.endpoint, calm.status_code, calm.exception_type) == (None, None, None)
+
+
+def test_stated_fields_win_over_extracted_ones(spark):
+    text = json.dumps({"level": "info", "service": "inside", "request_id": "r-in"})
+    rows = [("/a", START, text, "warn", "outside", None), ("/a", START, text, None, "", "r-out")]
+    df = spark.createDataFrame(
+        rows, "log_group string, ts timestamp, message string, level string, service string, request_id string"
+    )
+    got = sorted((r.level, r.service, r.request_id) for r in E.extract_fields(df).collect())
+    assert got == [("INFO", "inside", "r-out"), ("WARN", "outside", "r-in")]
+    assert E.prepare(df).columns.count("level") == 1
+
+
+def test_fingerprints_name_their_parts(spark):
+    df = spark.createDataFrame([("tide", None, 31), ("tide", "31", None)], "x string, y string, z int")
+    first, second = (r[0] for r in df.select(fingerprint(F.col("x"), F.col("y"), F.col("z"))).collect())
+    assert first == hashlib.sha256(b"tide\n\n31").hexdigest()[:16] != second
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1987-06-05 04:03:02.1", datetime(1987, 6, 5, 4, 3, 2, 100_000, UTC)),
+        ("1987-06-05T04:03:02-03:30", datetime(1987, 6, 5, 7, 33, 2, 0, UTC)),
+        ("1987-06-05T04:03:02Z", datetime(1987, 6, 5, 4, 3, 2, 0, UTC)),
+        ("1987-06-05", datetime(1987, 6, 5, tzinfo=UTC)),
+        ("noon", None), ("1987", None), ("1987-06-31 00:00:00", None),
+    ],
+)
+def test_times(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(F.unix_micros(X.parse_utc(F.col("t")))).first()[0]
+    assert got == (None if want is None else int(want.timestamp() * 1_000_000))
