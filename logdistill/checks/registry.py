@@ -90,13 +90,13 @@ LOGS = "WITH " + Q.LOGS
 @query(
     "s1_log_rows",
     LOGS + """ SELECT log_group, epoch_us(date_trunc('millisecond', ts)) AS ts_us, message, log_stream
-    FROM logs WHERE NOT contains(message, '/signup/')""",
+    FROM logs WHERE NOT contains(message, '/berths/')""",
 )
 def s1_log_rows(spark, sf_dir):
     def pair(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("field"), value.alias("value"))
 
-    bad = F.col("message").contains("/signup/")
+    bad = F.col("message").contains("/berths/")
     stamp = F.when(bad, F.lit("yesterday")).otherwise(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
     )
@@ -128,9 +128,9 @@ def s2_from_table(spark, sf_dir):
 
 @query(
     "s4_log_group_inventory",
-    LOGS + """ SELECT log_group AS name, log_group LIKE '/app/%' OR log_group LIKE '/internal/b_tch' AS allowed,
+    LOGS + """ SELECT log_group AS name, log_group LIKE '/sea/%' OR log_group LIKE '/land/g_te' AS allowed,
       CAST(sum(length(message)) AS BIGINT) AS stored_bytes,
-      CASE WHEN log_group = '/app/orders' THEN NULL ELSE 30 END AS retention_days
+      CASE WHEN log_group = '/sea/south' THEN NULL ELSE 30 END AS retention_days
     FROM (SELECT log_group, message FROM logs
           UNION ALL SELECT '/vendor/' || p_brand, p_name FROM part) x GROUP BY log_group""",
 )
@@ -142,7 +142,7 @@ def s4_log_group_inventory(spark, sf_dir):
         V.logs(spark, sf_dir).select("log_group", "message").unionByName(parts)
         .groupBy(F.col("log_group").alias("name"))
         .agg(F.sum(F.length("message")).alias("stored_bytes"))
-        .withColumn("retention_days", F.when(F.col("name") != "/app/orders", F.lit(30)))
+        .withColumn("retention_days", F.when(F.col("name") != "/sea/south", F.lit(30)))
     )
     return SE.log_group_inventory(sizes, V.ALLOWLIST)
 
@@ -225,13 +225,13 @@ def f1_level_filter(spark, sf_dir):
 
 @query(
     "f2_contains_filters",
-    LOGS + """ SELECT event_id FROM logs WHERE contains(message, 'stock') AND contains(message, 'ReadTimeout')
-      AND contains(message, '504') AND contains(message, 'r-1')""",
+    LOGS + """ SELECT event_id FROM logs WHERE contains(message, 'gauges') AND contains(message, 'TideTimeout')
+      AND contains(message, '504') AND contains(message, 'trip-1')""",
 )
 def f2_contains_filters(spark, sf_dir):
     hits = FL.contains_filters(
-        V.logs(spark, sf_dir), service="stock", exception_type="ReadTimeout", status_code=504,
-        request_id="r-1",
+        V.logs(spark, sf_dir), service="gauges", exception_type="TideTimeout", status_code=504,
+        request_id="trip-1",
     )
     return hits.select("event_id")
 
@@ -274,10 +274,10 @@ def f6_errors_only(spark, sf_dir):
 @query(
     "f7_allowed_only",
     LOGS + """ SELECT log_group, count(*) AS n FROM logs
-    WHERE log_group LIKE '/app/%' OR log_group = '/internal/archive' GROUP BY log_group""",
+    WHERE log_group LIKE '/sea/%' OR log_group = '/land/store' GROUP BY log_group""",
 )
 def f7_allowed_only(spark, sf_dir):
-    kept = FL.allowed_only(V.logs(spark, sf_dir), ["/app/*", "/internal/[!b]*"])
+    kept = FL.allowed_only(V.logs(spark, sf_dir), ["/sea/*", "/land/[!g]*"])
     return kept.groupBy("log_group").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -579,6 +579,22 @@ def a9_reduction_stats(spark, sf_dir):
     )
 
 
+@query(
+    "a9_stats_no_budget",
+    WITH_CLUSTERS + """ SELECT log_group, count(*) AS clusters, count(*) AS clusters_after_budget,
+      count(*) FILTER (rank <= 3) AS clusters_in_evidence,
+      CAST(sum(least(event_count, 3)) FILTER (rank <= 3) AS BIGINT) AS events_in_evidence, false AS truncated
+    FROM ranked GROUP BY log_group""",
+)
+def a9_stats_no_budget(spark, sf_dir):
+    cfg = I.without_budget(Config(evidence_clusters=3))
+    stats = reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), cfg, keep_events=False).stats
+    return stats.select(
+        "log_group", "clusters", F.col("clusters_after_budget").cast("bigint").alias("clusters_after_budget"),
+        "clusters_in_evidence", "events_in_evidence", "truncated",
+    )
+
+
 @query(
     "a10_coverage",
     LOGS + """, m AS (SELECT *, row_number() OVER (PARTITION BY log_group ORDER BY ts DESC) AS k FROM logs
@@ -764,14 +780,14 @@ _DAY_ERRORS = f""", w AS ({V.DAYS_SQL}), m AS (
 
 @query("j4_glob_match", LOGS + """, n AS (SELECT DISTINCT log_group AS name FROM logs
       UNION ALL SELECT DISTINCT '/vendor/' || p_brand FROM part)
-    SELECT name, '/app/*' AS pattern FROM n WHERE name LIKE '/app/%' UNION ALL
-    SELECT name, '/internal/b?tch' FROM n WHERE name LIKE '/internal/b_tch' UNION ALL
+    SELECT name, '/sea/*' AS pattern FROM n WHERE name LIKE '/sea/%' UNION ALL
+    SELECT name, '/land/g?te' FROM n WHERE name LIKE '/land/g_te' UNION ALL
     SELECT name, '/vendor/Brand#[1-3]?' FROM n WHERE regexp_full_match(name, '/vendor/Brand#[1-3].')""")
 def j4_glob_match(spark, sf_dir):
     names = V.logs(spark, sf_dir).select(F.col("log_group").alias("name")).distinct()
     brands = V.table(spark, sf_dir, "part").select(F.concat(F.lit("/vendor/"), "p_brand").alias("name"))
     return FL.glob_match(
-        names.unionByName(brands.distinct()), ["/app/*", "/internal/b?tch", "/vendor/Brand#[1-3]?"]
+        names.unionByName(brands.distinct()), ["/sea/*", "/land/g?te", "/vendor/Brand#[1-3]?"]
     )
 
 
@@ -792,7 +808,7 @@ def j5_events_in_windows(spark, sf_dir):
     LOGS + f""", w AS ({V.DAYS_SQL} UNION ALL {V.WHOLE_SQL} UNION ALL
       SELECT 'doc' || CAST(doc_id AS VARCHAR), '/' || source, TIMESTAMP '2024-01-02 00:00:00',
         TIMESTAMP '2024-01-02 00:00:00' + to_minutes(n_chars - 500) FROM documents)
-    SELECT window_id, CASE WHEN NOT (log_group LIKE '/app/%' OR log_group LIKE '/internal/b_tch' OR log_group LIKE '/%s%')
+    SELECT window_id, CASE WHEN NOT (log_group LIKE '/sea/%' OR log_group LIKE '/land/g_te' OR log_group LIKE '/%s%')
         THEN 'log group not allowed' WHEN window_end <= window_start THEN 'end not after start'
         WHEN window_end - window_start > INTERVAL 1440 MINUTES THEN 'longer than the maximum' END AS invalid_reason,
       CASE WHEN length(window_id) % 4 = 0 THEN CAST(5000 AS BIGINT) ELSE least(CAST(length(window_id) * 400 AS BIGINT), 5000) END AS row_limit
@@ -844,20 +860,20 @@ def k1_search_per_window(spark, sf_dir):
     return found.select("window_id", "event_id", F.col("row_no").cast("bigint").alias("row_no"))
 
 
-REQUEST_IDS = "SELECT DISTINCT 'r-' || CAST(event_id AS VARCHAR) AS request_id FROM events WHERE event_type = 'signup'"
+REQUEST_IDS = "SELECT DISTINCT 'trip-' || CAST(event_id AS VARCHAR) AS request_id FROM events WHERE event_type = 'signup'"
 
 
 def request_ids(spark, sf_dir) -> DataFrame:
     """The ids of all signup events; the traces look for them in every message."""
     events = V.table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
-    return events.select(F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("request_id"))
+    return events.select(F.concat(F.lit("trip-"), F.col("event_id").cast("string")).alias("request_id"))
 
 
-# "Contains" as the id at any place of the message: ids here are r- and digits, so
+# "Contains" as the id at any place of the message: ids here are trip- and digits, so
 # every prefix of a message's id token is a candidate.
 _TRACE_SQL = (
     "WITH " + Q.LOGS + ", " + Q.FIELDS + ", " + Q.red_cte() + f""", ids AS ({REQUEST_IDS}),
-tokens AS (SELECT DISTINCT event_id, unnest(regexp_extract_all(raw, 'r-[0-9]+')) AS token FROM red),
+tokens AS (SELECT DISTINCT event_id, unnest(regexp_extract_all(raw, 'trip-[0-9]+')) AS token FROM red),
 cut AS (SELECT DISTINCT event_id, substr(token, 1, n) AS request_id FROM tokens, range(3, 20) t(n) WHERE n <= length(token)),
 hit AS (SELECT ids.request_id, red.* FROM cut JOIN ids USING (request_id) JOIN (SELECT * EXCLUDE request_id FROM red) red ON cut.event_id = red.event_id)"""
 )
@@ -886,6 +902,17 @@ def k2_trace_totals(spark, sf_dir):
     return R.trace_totals(V.logs(spark, sf_dir), request_ids(spark, sf_dir))
 
 
+@query(
+    "k2_trace_in_windows",
+    _TRACE_SQL + f""", w AS ({V.DAYS_SQL}) SELECT w.window_id, request_id, count(*) AS total_events
+    FROM hit JOIN w ON hit.log_group = w.log_group AND hit.ts >= w.window_start AND hit.ts < w.window_end GROUP BY ALL""",
+)
+def k2_trace_in_windows(spark, sf_dir):
+    days = V.windows(spark, sf_dir, V.DAYS_SQL)
+    traced = I.trace_in_windows(V.logs(spark, sf_dir), request_ids(spark, sf_dir), days)
+    return traced.totals.select("window_id", "request_id", "total_events")
+
+
 @query(
     "k2_trace_conversation",
     """SELECT CAST(role AS VARCHAR) AS log_group, 'que' AS request_id, count(*) AS total_events, count(*) > 100 AS truncated
@@ -1158,14 +1185,62 @@ def e5_overview(spark, sf_dir):
     return report.overview.select("window_id", "events", "logical_events", "severity", "status")
 
 
+@query(
+    "e5_rejected_windows",
+    _day_sql() + f""", asked AS (SELECT window_id, log_group, 1 AS kind FROM w
+      UNION ALL SELECT window_id || '#back', log_group, 2 FROM w
+      UNION ALL SELECT window_id, log_group, 3 FROM ({V.WHOLE_SQL}) x)
+    SELECT a.window_id, CASE WHEN a.log_group NOT LIKE '/sea/%' OR kind > 1 THEN 'rejected'
+        WHEN t.window_id IS NULL THEN 'ok' ELSE 'unavailable' END AS status,
+      CASE WHEN a.log_group NOT LIKE '/sea/%' THEN 'log group not allowed' WHEN kind = 2 THEN 'end not after start'
+        WHEN kind = 3 THEN 'longer than the maximum' END AS invalid_reason
+    FROM asked a LEFT JOIN (SELECT DISTINCT window_id FROM wev WHERE NOT is_blank) t ON a.window_id = t.window_id""",
+)
+def e5_rejected_windows(spark, sf_dir):
+    """Windows that run backward, are too long or of a group not allowed are told apart from calm ones."""
+    days = V.windows(spark, sf_dir, V.DAYS_SQL)
+    back = days.select(
+        F.concat("window_id", F.lit("#back")).alias("window_id"), "log_group",
+        F.col("window_end").alias("window_start"), F.col("window_start").alias("window_end"),
+    )
+    asked = days.unionByName(back).unionByName(V.windows(spark, sf_dir, V.WHOLE_SQL))
+    report = I.analyze(V.logs(spark, sf_dir), asked, allowlist=["/sea/*"], max_minutes=1440)
+    return report.overview.select("window_id", "status", "invalid_reason")
+
+
+@query(
+    "e5_overlapping_windows",
+    _day_sql().replace(V.DAYS_SQL, V.HALF_DAYS_SQL) + _DAY_COLUMNS + "10",
+)
+def e5_overlapping_windows(spark, sf_dir):
+    """Windows of a day that begin every twelve hours, so that most events lie in two."""
+    report = I.analyze(V.logs(spark, sf_dir), V.windows(spark, sf_dir, V.HALF_DAYS_SQL))
+    return _cluster_rows(report.clusters, "window_id")
+
+
+@query(
+    "s2_analyze_events",
+    WITH_ENRICHED + """ SELECT log_group, count(*) AS events, count(DISTINCT CASE WHEN NOT is_blank THEN fingerprint END) AS logical_events,
+      'stated' AS service, 'NOTICE' AS level FROM enr GROUP BY log_group""",
+)
+def s2_analyze_events(spark, sf_dir):
+    """A table that states its own level and service goes through the whole reduction."""
+    stated = V.logs(spark, sf_dir).withColumns({"level": F.lit("notice"), "service": F.lit("stated")})
+    reduction, _ = I.analyze_events(SE.from_table(stated))
+    told = reduction.enriched.groupBy("log_group").agg(
+        F.max("service").alias("service"), F.max("level").alias("level")
+    )
+    return reduction.stats.select("log_group", "events", "logical_events").join(told, "log_group")
+
+
 @query(
     "e6_search_errors",
-    _day_sql(" AND contains(enr.raw, 'stock') AND contains(enr.raw, 'Timeout') AND contains(enr.raw, '504')")
+    _day_sql(" AND contains(enr.raw, 'gauges') AND contains(enr.raw, 'Timeout') AND contains(enr.raw, '504')")
     + _DAY_COLUMNS + "50",
 )
 def e6_search_errors(spark, sf_dir):
     report = I.search_errors(
-        V.logs(spark, sf_dir), V.windows(spark, sf_dir, V.DAYS_SQL), service="stock",
+        V.logs(spark, sf_dir), V.windows(spark, sf_dir, V.DAYS_SQL), service="gauges",
         exception_type="Timeout", status_code=504,
     )
     return _cluster_rows(report.clusters, "window_id")
@@ -1193,15 +1268,25 @@ def e1_build_evidence(spark, sf_dir):
     )
 
 
-@query(
-    "e2_comparison_evidence",
-    _compare_sql("WHERE rank <= 50") + """, tot AS (SELECT log_group, count(*) FILTER (side = 'baseline') AS baseline_events,
+_CHANGES = """, tot AS (SELECT log_group, count(*) FILTER (side = 'baseline') AS baseline_events,
         count(*) FILTER (side = 'comparison') AS comparison_events FROM sev GROUP BY ALL),
     ch AS (SELECT log_group, count(*) FILTER (change = 'new') AS new_clusters, count(*) FILTER (change = 'disappeared') AS disappeared,
         count(*) FILTER (change IN ('increased', 'decreased')) AS changed FROM e GROUP BY ALL)
-    SELECT * FROM tot JOIN ch USING (log_group)""",
-)
+    SELECT * FROM tot JOIN ch USING (log_group)"""
+
+
+@query("e2_comparison_evidence", _compare_sql("WHERE rank <= 50") + _CHANGES)
 def e2_comparison_evidence(spark, sf_dir):
+    return _comparison_counts(spark, sf_dir, Config(evidence_chars=10_000_000))
+
+
+@query("e2_exact", _compare_sql("") + _CHANGES)
+def e2_exact(spark, sf_dir):
+    """The comparison document over all clusters of both sides."""
+    return _comparison_counts(spark, sf_dir, I.without_budget(Config(evidence_chars=10_000_000)))
+
+
+def _comparison_counts(spark, sf_dir, cfg: Config) -> DataFrame:
     doc = F.from_json(
         "evidence",
         "baseline struct<total_events:bigint>, comparison struct<total_events:bigint>, deltas struct<"
@@ -1209,7 +1294,7 @@ def e2_comparison_evidence(spark, sf_dir):
         "changed_clusters:array<struct<cluster_id:string>>>",
     )
     # The document has to stay whole to be read back here.
-    found = compared(spark, sf_dir, Config(evidence_chars=10_000_000)).evidence()
+    found = compared(spark, sf_dir, cfg).evidence()
     parsed = found.select("log_group", doc.alias("d"))
 
     def size(name: str) -> Column:
@@ -1272,7 +1357,7 @@ def analyses(clusters: DataFrame) -> DataFrame:
         F.when(odd, "high").otherwise("low").alias("severity"),
         F.array(cause, empty).cast(VA.ROOT_CAUSES).alias("root_causes"),
         F.array(
-            F.lit("/Checkout"), F.lit("kafka-broker-7"), F.lit("db-main pool"), F.lit("the STOCK/items"),
+            F.lit("/Berths"), F.lit("beacon-7"), F.lit("mast north"), F.lit("the GAUGES/level"),
             F.lit("abc"), F.concat(F.lit("x "), F.coalesce("exception_type", F.lit("zzzz"))),
         ).alias("affected_components"),
     )
@@ -1320,8 +1405,8 @@ def j2_validate_refs(spark, sf_dir):
 
 
 _COMPONENTS_SQL = _TERMS_SQL + """, comp AS (
-  SELECT log_group || '#' || CAST(rank AS VARCHAR) AS analysis_id, log_group, unnest(['/Checkout', 'kafka-broker-7', 'db-main pool',
-    'the STOCK/items', 'abc', 'x ' || coalesce(exception_type, 'zzzz')]) AS component FROM k50),
+  SELECT log_group || '#' || CAST(rank AS VARCHAR) AS analysis_id, log_group, unnest(['/Berths', 'beacon-7', 'mast north',
+    'the GAUGES/level', 'abc', 'x ' || coalesce(exception_type, 'zzzz')]) AS component FROM k50),
 dc AS (SELECT DISTINCT log_group, component, lower(component) AS low FROM comp),
 wd AS (SELECT DISTINCT log_group, component, w FROM (
   SELECT log_group, component, unnest(string_split_regex(replace(low, '/', ' /'), '\\s+')) AS w FROM dc) x WHERE length(w) > 3),
@@ -1343,8 +1428,8 @@ def j3_validate_components(spark, sf_dir):
 @query(
     "e4_validate_analyses",
     _COMPONENTS_SQL + """, cnt AS (SELECT c.analysis_id, count(*) FILTER (o.component IS NULL) AS bad,
-        string_agg(c.component, '; ' ORDER BY CASE c.component WHEN '/Checkout' THEN 1 WHEN 'kafka-broker-7' THEN 2 WHEN 'db-main pool' THEN 3
-          WHEN 'the STOCK/items' THEN 4 WHEN 'abc' THEN 5 ELSE 6 END) FILTER (o.component IS NOT NULL) AS kept
+        string_agg(c.component, '; ' ORDER BY CASE c.component WHEN '/Berths' THEN 1 WHEN 'beacon-7' THEN 2 WHEN 'mast north' THEN 3
+          WHEN 'the GAUGES/level' THEN 4 WHEN 'abc' THEN 5 ELSE 6 END) FILTER (o.component IS NOT NULL) AS kept
       FROM comp c LEFT JOIN okc o ON c.log_group = o.log_group AND c.component = o.component GROUP BY c.analysis_id)
     SELECT n.analysis_id, n.bad + 2 + CASE WHEN k.rank % 2 = 1 OR k.rank % 3 = 0 THEN 0 ELSE 1 END AS warnings,
       'degraded' AS status, coalesce(n.kept, '') AS components, CAST(2 AS BIGINT) AS causes
@@ -1363,9 +1448,9 @@ def e4_validate_analyses(spark, sf_dir):
 @query(
     "e8_score_analyses",
     WITH_CLUSTERS + """ SELECT log_group || '#' || CAST(rank AS VARCHAR) AS analysis_id,
-      CAST(round((CASE WHEN exception_type = 'ReadTimeout' THEN 0.4 ELSE 0 END)
-        + (CASE WHEN contains(lower(coalesce(exception_type, 'none')), 'pool') OR contains(lower(coalesce(exception_type, 'none')), 'timeout') THEN 0.3
-             ELSE 0.3 END) + 0.2
+      CAST(round((CASE WHEN exception_type = 'TideTimeout' THEN 0.4 ELSE 0 END)
+        + (CASE WHEN contains(lower(coalesce(exception_type, 'none')), 'fault') OR contains(lower(coalesce(exception_type, 'none')), 'timeout') THEN 0.3
+             ELSE 0 END) + (CASE WHEN log_group = '/land/gate' THEN 0 ELSE 0.2 END)
         + (CASE WHEN rank % 2 = 1 THEN 0.1 ELSE 0 END), 4) * 10000 AS BIGINT) AS score_e4
     FROM ranked WHERE rank <= 50""",
 )
@@ -1373,9 +1458,9 @@ def e8_score_analyses(spark, sf_dir):
     found = analyses(reduced(spark, sf_dir).clusters).withColumn("case_id", F.col("log_group"))
     expected = V.logs(spark, sf_dir).select(F.col("log_group").alias("case_id")).distinct().withColumns(
         {
-            "primary_exception": F.lit("ReadTimeout"),
-            "category_keywords": F.array(F.lit("timeout"), F.lit("pool")),
-            "affected_endpoint": F.lit("STOCK/items"),
+            "primary_exception": F.lit("TideTimeout"),
+            "category_keywords": F.array(F.lit("timeout"), F.lit("fault")),
+            "affected_endpoint": F.when(F.col("case_id") == "/land/gate", "no/such").otherwise("GAUGES/level"),
             "severities": F.array(F.lit("medium"), F.lit("high")),
         }
     )
@@ -1386,13 +1471,17 @@ def e8_score_analyses(spark, sf_dir):
 @query(
     "a13_volume_reduction",
     LOGS + f""" SELECT log_group, count(*) AS events, CAST(sum(length(message) + 27) - 1 AS BIGINT) AS raw_chars,
-      (CAST(sum(length(message) + 27) - 1 AS BIGINT)) // 4 AS raw_tokens, true AS smaller
+      (CAST(sum(length(message) + 27) - 1 AS BIGINT)) // 4 AS raw_tokens,
+      25 * length(log_group) AS report_chars, (25 * length(log_group)) // 4 AS report_tokens,
+      CAST(round((1.0 - 25.0 * length(log_group) / (sum(length(message) + 27) - 1)) * 100, 2) * 100 AS BIGINT) AS saved_e2
     FROM logs WHERE contains(message, 'ERROR') OR contains(message, 'error') GROUP BY log_group""",
 )
 def a13_volume_reduction(spark, sf_dir):
-    saved = ST.volume_reduction(
-        errors(spark, sf_dir), evidence_of(spark, sf_dir).select("log_group", "evidence"), GROUP
-    )
+    events = errors(spark, sf_dir)
+    # A text of known length stands for the report.
+    report = events.select("log_group").distinct().withColumn("evidence", F.repeat("log_group", F.lit(25)))
+    saved = ST.volume_reduction(events, report, GROUP)
     return saved.select(
-        "log_group", "events", "raw_chars", "raw_tokens", (F.col("percent_saved") > -1000).alias("smaller")
+        "log_group", "events", "raw_chars", "raw_tokens", "report_chars", "report_tokens",
+        scaled("percent_saved", 100).alias("saved_e2"),
     )

@@ -7,50 +7,57 @@ from pyspark.sql import functions as F
 
 from logdistill.operators.common import stage
 
+# Events of a harbour: gauges and relays on the water, a gate on land.  Every kind of text
+# that the operators treat differently occurs; numbers come from the event's own columns.
 LOGS_SQL = """
 SELECT event_id, ts,
-  CASE user_id % 3 WHEN 0 THEN '/app/payments' WHEN 1 THEN '/app/orders' ELSE '/internal/batch' END AS log_group,
-  'host-' || CAST(user_id % 4 AS STRING) AS log_stream,
+  CASE WHEN event_id % 10 < 5 THEN '/sea/north' WHEN event_id % 10 < 8 THEN '/sea/south' ELSE '/land/gate' END AS log_group,
+  'unit-' || CAST((event_id + user_id) % 5 AS STRING) AS log_stream,
   CASE
-    WHEN event_id % 97 = 0 THEN '   '
-    WHEN event_type = 'error' AND event_id % 6 = 0 THEN
-      'ERROR request_id=r-' || CAST(event_id AS STRING) || ' POST ' || CASE WHEN user_id % 4 = 0 THEN '/order' ELSE '/checkout' END
-      || ' status=502 user_id=' || CAST(100000 + user_id AS STRING) || chr(10)
+    WHEN event_type = 'view' AND event_id % 40 = 3 THEN repeat(' ', 4)
+    WHEN event_type = 'click' THEN 'DEBUG gauge ' || CAST(user_id AS STRING) || ' level ' || CAST(event_id % 700 AS STRING) || 'ms after the bell'
+    WHEN event_type = 'view' THEN '{"msg":"tide table shown","level":"info","route":"/tables/' || CAST(user_id AS STRING) || '"}'
+    WHEN event_type = 'signup' THEN 'INFO trip-' || CAST(event_id AS STRING) || ' POST /berths returned 201'
+    WHEN event_type = 'purchase' THEN 'WARN trip-' || CAST(event_id AS STRING) || ' DELETE /berths/' || CAST(user_id % 90 AS STRING)
+      || ' returned 409 BookingError: berth held, no error for the captain'
+    WHEN (event_id + user_id) % 13 < 4 THEN
+      'gate ' || CAST(event_id % 9 AS STRING) || ' ERROR PUT /gauges/' || CASE WHEN event_id % 3 = 0 THEN 'salt' ELSE 'level' END
+      || ' status=507 trip-' || CAST(event_id AS STRING) || chr(10)
       || 'Traceback (most recent call last):' || chr(10)
-      || '  File "/srv/pay/db.py", line ' || CAST(10 + event_id % 5 AS STRING) || ', in connect' || chr(10)
-      || '    pool.take()' || chr(10)
-      || '  File "/srv/vendor/pool.py", line 88, in take' || chr(10)
-      || 'PoolSelectionTimeout: no members for host db-main:27017'
-    WHEN event_type = 'error' AND event_id % 6 = 1 THEN
-      'ERROR request_id=r-' || CAST(event_id AS STRING) || ' GET /stock/' || CAST(user_id AS STRING) || ' status=500' || chr(10)
+      || '  File "/opt/gauge/sink.py", line ' || CAST(200 + event_id % 3 AS STRING) || ', in drain' || chr(10)
+      || '  File "/opt/gauge/ring.py", line 31, in claim' || chr(10)
+      || '    return self.slots[n]' || chr(10)
+      || '  File "/opt/gauge/ring.py", line 9, in __getitem__' || chr(10)
+      || 'RingFault: slot ' || CAST(event_id % 4 AS STRING) || ' is still being read'
+    WHEN (event_id + user_id) % 13 < 6 THEN
+      'CRITICAL ERROR relay trip-' || CAST(event_id AS STRING) || ' POST /relays/' || CAST(user_id AS STRING) || '/forward' || chr(10)
       || 'Traceback (most recent call last):' || chr(10)
-      || '  File "/srv/net.py", line 10, in dial' || chr(10)
-      || 'ConnectionRefusedError: [Errno 111] refused' || chr(10) || chr(10)
-      || 'The above exception was the direct cause of the following exception:' || chr(10) || chr(10)
+      || '  File "/opt/relay/radio.py", line 64, in key_up' || chr(10)
+      || 'CarrierTimeout: no echo in 40 s' || chr(10) || chr(10)
+      || 'During handling of the above exception, another exception occurred:' || chr(10) || chr(10)
       || 'Traceback (most recent call last):' || chr(10)
-      || '  File "/srv/handler.py", line 5, in handle' || chr(10)
-      || 'StoreError: could not reach store'
-    WHEN event_type = 'error' AND event_id % 6 = 2 THEN
-      'ERROR request_id=r-' || CAST(event_id AS STRING) || ' GET /stock/' || CAST(user_id AS STRING) || '/items status=504 ReadTimeout: upstream 10.0.'
-      || CAST(event_id % 250 AS STRING) || '.7:8443 gave up after ' || CAST(100 + event_id % 900 AS STRING) || 'ms'
-    WHEN event_type = 'error' AND event_id % 6 = 3 THEN
-      '{"level":"error","request_id":"r-' || CAST(event_id AS STRING) || '","service":"payments","path":"/order/' || CAST(user_id AS STRING)
-      || '","status":500,"msg":"DbError: connect failed url=postgres://admin:pw' || CAST(event_id AS STRING) || '@db.internal/prod"}'
-    WHEN event_type = 'error' AND event_id % 6 = 4 THEN
-      'ERROR AuthError: refresh failed Authorization: Bearer tok' || CAST(1000000 + event_id AS STRING) || 'abc password=pw'
-      || CAST(event_id AS STRING) || ' user' || CAST(user_id AS STRING) || '@example.com status=401'
-    WHEN event_type = 'error' THEN
-      'error job ' || CAST(event_id AS STRING) || ' failed code 503 at 2024-01-05T10:11:12Z key=' || chr(39) || CAST(event_id % 50 AS STRING) || chr(39)
-      || ' object 0x7f9a2c' || CAST(event_id % 10 AS STRING) || ' id 550e8400-e29b-41d4-a716-44665544' || CAST(1000 + event_id % 9000 AS STRING)
-    WHEN event_type = 'purchase' THEN
-      'WARNING request_id=r-' || CAST(event_id AS STRING) || ' POST /signup status=400 ValidationError: error in field ' || chr(39) || 'email' || chr(39)
-    ELSE 'INFO request_id=r-' || CAST(event_id AS STRING) || ' GET /' || event_type || '/' || CAST(user_id AS STRING) || ' status=200'
+      || '  File "/opt/relay/hop.py", line 18, in forward' || chr(10)
+      || '  File "/opt/relay/hop.py", line 25, in next_station' || chr(10)
+      || 'HopFailure: all stations silent (status: 521)'
+    WHEN (event_id + user_id) % 13 < 8 THEN
+      'ERROR GET /gauges/' || CAST(user_id AS STRING) || '/history?days=9 status: 504 TideTimeout: 172.20.' || CAST(event_id % 200 AS STRING)
+      || '.9:7700 silent for ' || CAST(1000 + event_id % 500 AS STRING) || 'ms trip-' || CAST(event_id AS STRING)
+    WHEN (event_id + user_id) % 13 < 10 THEN
+      '{"severity":"error","correlation_id":"trip-' || CAST(event_id AS STRING) || '","app":"relays","uri":"/relays/' || CAST(user_id AS STRING)
+      || '/log","status":"' || CASE WHEN event_id % 2 = 0 THEN '500' ELSE '423' END
+      || '","msg":"QueueException: amqp://harbour:ebb' || CAST(event_id AS STRING) || '@mq.sea.example/q"}'
+    WHEN (event_id + user_id) % 13 < 12 THEN
+      'ERROR BadgeError: turned away skipper' || CAST(user_id AS STRING) || '@sea.example pwd=tide' || CAST(event_id AS STRING)
+      || ' cookie: berth=' || CAST(event_id AS STRING) || chr(10) || 'status=403 trip-' || CAST(event_id AS STRING)
+    ELSE
+      'lamp error ' || CAST(event_id AS STRING) || ' code 530 since 2023-11-30T22:15:01Z on "' || CAST(event_id % 60 AS STRING)
+      || '" ref 0x00c0ffee' || CAST(event_id % 8 AS STRING) || ' of 7c9e6679-7425-40de-944b-e07fc1f9' || CAST(1000 + event_id % 8000 AS STRING)
   END AS message
 FROM events
 """
 
-GROUPS = ("/app/payments", "/app/orders", "/internal/batch")
-ALLOWLIST = ["/app/*", "/internal/b?tch", "/none"]
+GROUPS = ("/sea/north", "/sea/south", "/land/gate")
+ALLOWLIST = ["/sea/*", "/land/g?te", "/none"]
 
 # One window per log group and day, and the two windows compare_windows works on.
 _GROUP_ROWS = " UNION ALL ".join(f"SELECT '{g}' AS log_group" for g in GROUPS)
@@ -62,6 +69,10 @@ SELECT log_group || '#' || CAST(day AS STRING) AS window_id, log_group,
        day AS window_start, day + INTERVAL 1 DAY AS window_end
 FROM (SELECT DISTINCT log_group, date_trunc('day', ts) AS day FROM logs) d
 """
+HALF_DAYS_SQL = DAYS_SQL.replace("date_trunc('day', ts) AS day FROM logs", "half AS day FROM halves").replace(
+    "FROM (SELECT", "FROM (WITH halves AS (SELECT log_group, date_trunc('day', ts) AS half FROM logs UNION ALL "
+    "SELECT log_group, date_trunc('day', ts) + INTERVAL 12 HOURS FROM logs) SELECT"
+)
 SIDES_SQL = f"""
 SELECT log_group || '#' || side AS window_id, log_group, side,
        CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-15 00:00:00' END AS window_start,
