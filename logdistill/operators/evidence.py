@@ -21,14 +21,25 @@ from logdistill.operators.common import CLUSTER_KEY, null_safe_join
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
 
 
+# A name of one character and the four around it.
+LEAST_ENTRY = 5
+
+
 def iso(ts: Column) -> Column:
     return F.date_format(ts, ISO)
 
 
 def _bounded(df: DataFrame, group: Sequence[str], order: list[Column], size: Column, limit: int):
-    """Leading rows of each group until their sizes pass the limit."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(
+    """Leading rows of each group until their sizes pass the limit.
+
+    Every size is at least ``LEAST_ENTRY``, so rows beyond a rank cannot be reached; the
+    rank filter is applied per task before the shuffle, and the running sum sees few rows.
+    """
+    ranked = Window.partitionBy(*group).orderBy(*order)
+    most = limit // LEAST_ENTRY + 1
+    few = df.withColumn("__nth", F.row_number().over(ranked)).where(F.col("__nth") <= most)
+    w = ranked.rowsBetween(Window.unboundedPreceding, -1)
+    return few.drop("__nth").withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(
         F.col("__before") <= limit
     ).drop("__before")
 

@@ -76,7 +76,8 @@ def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def recent_ops(ops: DataFrame, n: int = 50) -> DataFrame:
     """The latest telemetry rows."""
-    return ops.orderBy(F.desc("recorded_at"), "operation").limit(n)
+    rest = [c for c in ops.columns if c not in ("recorded_at", "operation")]
+    return ops.orderBy(F.desc("recorded_at"), "operation", *rest).limit(n)
 
 
 def score_analyses(analyses: DataFrame, expected: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logdistill.config import DEFAULTS, Config
 from logdistill.functions import patterns as P
-from logdistill.operators.common import null_safe_join
+from logdistill.operators.common import null_safe_join, numbered
 from logdistill.operators.enrich import extract_fields, redact
 
 # Id tables with more characters than this are not broadcast by a trace.
@@ -54,9 +54,15 @@ def search_events(
     if not scope:
         ordered = events.orderBy(*newest_first())
         return ordered if limit is None else ordered.limit(limit)
+    if limit is None:
+        # All rows of a scope may not fit one task: number range partitions instead.
+        at = numbered(events, [*[F.asc(c) for c in scope], *newest_first()], "__number")
+        first = at.groupBy(*scope).agg(F.min("__number").alias("__first"))
+        found = null_safe_join(at, first, scope)
+        row_no = (F.col("__number") - F.col("__first") + 1).cast("int")
+        return found.withColumn("row_no", row_no).drop("__number", "__first")
     order = Window.partitionBy(*scope).orderBy(*newest_first())
-    ranked = events.withColumn("row_no", F.row_number().over(order))
-    return ranked if limit is None else ranked.where(F.col("row_no") <= limit)
+    return events.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= limit)
 
 
 def coverage(events: DataFrame, scope: Sequence[str], limit: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """The row-wise passes on live event streams.
 
-Extraction, redaction and enrichment are projections, so ``prepare`` runs unchanged
-on a streaming DataFrame; deduplication and volumes need a watermark.
+Extraction, redaction and enrichment are projections, so ``operators.enrich.prepare`` runs
+unchanged on a streaming DataFrame; deduplication and volumes need a watermark.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logdistill.operators.enrich import prepare
 from logdistill.operators.retrieve import EVENT_KEY
 
 
@@ -20,10 +19,6 @@ def dedupe_stream(events: DataFrame, scope: Sequence[str], late: str = "10 minut
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([*scope, *EVENT_KEY])
 
 
-def enrich_stream(events: DataFrame) -> DataFrame:
-    return prepare(events)
-
-
 def stream_timeline(
     events: DataFrame, scope: Sequence[str], bin_minutes: int = 5, late: str = "10 minutes"
 ) -> DataFrame:

@@ -105,7 +105,7 @@ def test_streams(spark, tmp_path):
         return spark.table(name)
 
     unique = live.dedupe_stream(stream, ("log_group",))
-    seen = drain(live.enrich_stream(unique), "enriched", "append")
+    seen = drain(prepare(unique), "enriched", "append")
     assert seen.count() == 61
     batch = prepare(spark.createDataFrame(rows, SCHEMA)).select("fingerprint").distinct()
     assert {r[0] for r in seen.select("fingerprint").distinct().collect()} == {r[0] for r in batch.collect()}

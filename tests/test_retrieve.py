@@ -133,3 +133,21 @@ def test_request_traces(spark, as_table):
     assert sorted((t.request_id, t.total_events, t.truncated) for t in totals) == [
         ("r-5", 3, True), ("r-50", 2, False), ("r-7", 2, False),
     ]
+
+
+def test_scopes_are_numbered_newest_first(spark):
+    rows = [event(START + timedelta(seconds=(7 * i) % 31), f"m{i}", f"/g{i % 3 % 2}") for i in range(60)]
+    found = R.search_events(spark.createDataFrame(rows, SCHEMA), None, ("log_group",)).collect()
+    for group in ("/g0", "/g1"):
+        mine = sorted((r for r in found if r.log_group == group), key=lambda r: r.row_no)
+        assert [r.row_no for r in mine] == list(range(1, len(mine) + 1))
+        assert [(r.ts, r.message) for r in mine] == sorted(
+            ((r.ts, r.message) for r in mine), key=lambda x: (-x[0].timestamp(), x[1])
+        )
+    assert len(found) == 60
+
+
+def test_traces_of_nothing_are_empty(spark):
+    df = spark.createDataFrame([event(START, "ERROR a trip-1")], SCHEMA)
+    for ids in ([], [""], spark.createDataFrame([], "request_id string")):
+        assert R.trace_requests(df, ids).count() == R.trace_totals(df, ids).count() == 0
