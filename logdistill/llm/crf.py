@@ -68,6 +68,30 @@ class Words:
         self.lexicon = _hash(np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1]))), LEXICON)
 
 
+def gathered(texts: list[str], piece: int = 300_000) -> Words:
+    """``Words`` of many texts, made in pieces and held in narrow integers."""
+    whole = Words([])
+    kept: dict[str, list[np.ndarray]] = {n: [] for n in ("owner", "begin", "two", "three", "affix", "lexicon")}
+    at = places = 0
+    while at < len(texts):
+        stop, chars = at, 0
+        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= piece):
+            chars += len(texts[stop])
+            stop += 1
+        w = Words(texts[at:stop])
+        if w.n:
+            parts = {"owner": w.owner + at, "begin": w.begin + places}
+            for name, into in kept.items():
+                into.append((parts[name] if name in parts else getattr(w, name)).astype(np.int32))
+            whole.n += w.n
+            places += len(w.two)
+        at = stop
+    if whole.n:
+        for name, into in kept.items():
+            setattr(whole, name, np.concatenate(into))
+    return whole
+
+
 def zero_model(languages: list[str]) -> dict:
     k = len(languages)
     sizes = {"two": BIGRAMS, "three": TRIGRAMS, "affix": AFFIXES, "lexicon": LEXICON}
@@ -181,7 +205,7 @@ def fit(
     k = len(languages)
     if not texts or k < 2:
         return model
-    w = Words(texts)
+    w = gathered(texts)
     if not w.n:
         return model
     index = {name: i for i, name in enumerate(languages)}
