@@ -170,7 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.array_join(F.array_sort(F.collect_list("item")), ",").alias("__names"),
         )
     )
-    facts = covered.join(names, ["__doc", "__text"])
+    # One row per contaminated document; where these are few, no text is shuffled.
+    facts = small_side(stage(covered.join(names, ["__doc", "__text"]), "leak-facts"), limit=200_000)
     return (
         keyed.withColumn("n_words", count_words(F.col("text")))
         .join(facts, ["__doc", "__text"], "left")
