@@ -2,12 +2,13 @@
 
 Texts become sets of word shingles; equal sets are one node.  Each set is embedded into
 MinHash tokens, which two sets share with a probability equal to their similarity.  A run
-splits all nodes on a sampled token, splits large buckets on further tokens, and compares
-small ones pairwise.  Runs with other samples are repeated until a pair at the threshold
-is missed by all with less than the allowed probability at ordinary depth.  In a large
-bucket, every member is also compared with a leader of the bucket, another one at each
-level; so a pile of near copies is linked in linear work while it is split further, down
-to buckets of equal signatures.  Candidate pairs are verified on the exact sets.
+splits all nodes on up to ``DEPTH`` tokens of its own and compares buckets pairwise: small
+ones as lists, and those that are still large at the end in blocks, each block with each,
+so no pair of a bucket is left out however many texts are alike.  Runs take different
+tokens, so they are independent, and are repeated until a pair at the threshold is missed
+by all with less than the allowed probability.  Candidate pairs are verified on the exact
+sets.  In large buckets links are counted where they are verified and only a spanning
+forest of them is passed on.
 
 Cases: texts of 1 to 4 words have one shingle of all their words; texts without words
 have no links and share a class with equal texts only, null counting as the empty text;
@@ -32,9 +33,11 @@ from logdistill.llm.common import small_side, stage
 WORDS = 5
 SIMILARITY = 0.8
 TOKENS = 64
-# Tokens on the path after each level; at the end all tokens are equal.
-DEPTHS = (1, 2, 3, 4, 6, 10, 20, 64)
+# Levels of a run, one token each; buckets that are large after them are compared in blocks.
+DEPTH = 3
 SMALL = 12
+# Members of a block, and shingles in all.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_ITEMS = 256, 1024, 4_000_000
 RECALL = 0.9999
 # Pairs below this share of equal tokens are far from the threshold: five deviations.
 ESTIMATE = 0.55
@@ -42,7 +45,7 @@ SEED = 20240
 PIECE = 2_000_000
 
 
-def runs_for(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = 3) -> int:
+def runs_for(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold, split ``depth`` times, is found with ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
 
@@ -99,33 +102,21 @@ def shingle_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInPandas(sets_of, "row long, items array<long>")
 
 
-def _coordinates(runs: int, tokens: int) -> list[list[int]]:
-    rng = np.random.default_rng(SEED)
-    return [rng.permutation(tokens).tolist() for _ in range(runs)]
+def _steps(runs: int, depth: int) -> np.ndarray:
+    """[run, level]: the token a run takes at each level; no two runs share one."""
+    return np.arange(runs * depth).reshape(runs, depth)
 
 
-def candidates(nodes: DataFrame, runs: int, tokens: int = TOKENS, small: int = SMALL) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that met in a small bucket or at a leader."""
-    order = _coordinates(runs, tokens)
-    # order[r][d] as a literal table: which token run r takes at depth d.
-    plan = F.array(*[F.array(*[F.lit(c) for c in row]) for row in order])
-
-    def longer(path: Column, run: Column, a: int, b: int) -> Column:
-        steps = [F.get("sig", F.get(F.get(plan, run), d)) for d in range(a, b)]
-        return F.xxhash64(path, *steps)
-
+def buckets_of(nodes: DataFrame, runs: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of nodes that met in a small bucket, and the members
+    (node, run, path, size) of buckets that are still large after all levels."""
     active = nodes.select(
         "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
-    ).select("node", "run", longer(F.xxhash64("run"), F.col("run"), 0, 1).alias("path"))
+    ).select("node", "run", F.xxhash64("run", F.get("sig", F.col("run") * DEPTH)).alias("path"))
     found = []
-    for level, depth in enumerate(DEPTHS):
+    for level in range(DEPTH):
         active = stage(active, f"paths-{level}")
-        lead = F.struct(F.xxhash64("node", F.lit(level)).alias("h"), F.col("node").alias("node"))
-        buckets = (
-            active.groupBy("path")
-            .agg(F.count(F.lit(1)).alias("size"), F.min(lead)["node"].alias("leader"))
-            .where(F.col("size") > 1)
-        )
+        buckets = active.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         held = stage(active.join(buckets, "path"), f"buckets-{level}")
         few = held.where(F.col("size") <= small)
         # At most ``small`` members each, so the lists and their pairs are bounded.
@@ -134,68 +125,201 @@ def candidates(nodes: DataFrame, runs: int, tokens: int = TOKENS, small: int = S
         pairs = tails.select(
             "a", F.explode(F.slice("ns", F.col("i") + 2, F.size("ns"))).alias("b")
         )
+        found.append(stage(pairs.distinct(), f"pairs-{level}"))
         many = held.where(F.col("size") > small)
-        stars = many.where(F.col("node") != F.col("leader")).select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-        )
-        found.append(stage(pairs.unionByName(stars).distinct(), f"pairs-{level}"))
-        if level + 1 == len(DEPTHS) or many.isEmpty():
+        if level + 1 == DEPTH or many.isEmpty():
             break
         active = many.select("node", "run", "path").join(nodes.select("node", "sig"), "node").select(
-            "node", "run", longer(F.col("path"), F.col("run"), depth, DEPTHS[level + 1]).alias("path")
+            "node", "run", F.xxhash64("path", F.get("sig", F.col("run") * DEPTH + level + 1)).alias("path")
         )
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
-    return out.distinct()
+    return out.distinct(), many
+
+
+def _near_pairs(rows: pd.DataFrame, runs: int, tokens: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a block with a block that this run is the first to hold in a
+    large bucket, and whose sizes and tokens are near enough."""
+    i, j, run = (int(rows[c].iloc[0]) for c in ("i", "j", "run"))
+    # One row per token.
+    sig = np.ascontiguousarray(np.stack(rows["sig"].to_numpy()).T)
+    size, block = rows["n"].to_numpy(), rows["block"].to_numpy()
+    large = np.array([np.isin(np.arange(runs), x) for x in rows["runs"]])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    steps = _steps(runs, DEPTH)
+    for at in range(0, len(left), 128):
+        part = left[at : at + 128]
+        equal = np.zeros((len(part), len(right)), dtype=np.int16)
+        for t in range(tokens):
+            equal += sig[t][part][:, None] == sig[t][right][None, :]
+        fits = np.minimum(size[part][:, None], size[right]) >= np.maximum(size[part][:, None], size[right]) * similarity - 0.5
+        good = (equal >= int(ESTIMATE * tokens)) & fits
+        if i == j:
+            good &= part[:, None] < right[None, :]
+        x, y = np.nonzero(good)
+        x, y = part[x], right[y]
+        fresh = np.ones(len(x), dtype=bool)
+        for r in range(run):
+            fresh &= ~((sig[steps[r]][:, x] == sig[steps[r]][:, y]).all(axis=0) & large[x, r])
+        yield x[fresh], y[fresh]
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs."""
+    root = list(range(n))
+
+    def top(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        s, t = top(x), top(y)
+        if s != t:
+            root[s] = t
+            out.append((x, y))
+    return out
+
+
+def block_links(
+    many: DataFrame, nodes: DataFrame, marks: DataFrame, sets_of, runs: int, tokens: int, similarity: float,
+) -> tuple[DataFrame, DataFrame]:
+    """All links inside large buckets: (node, n_links) and spanning edges (a, b).
+
+    Members are dealt into blocks, and every block meets every block of its bucket in a
+    task of its own.  Tasks return counts and spanning edges, so rows do not grow with the
+    links.  A pair counts in the first of its runs in a large bucket only.  The first pass
+    names the nodes whose exact sets are needed, the second verifies.
+    """
+    weights = many.join(nodes.select("node", "n"), "node").groupBy("path").agg(F.sum("n").alias("items"))
+    wide = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("size") / 8))
+    blocks = F.ceil(F.greatest(F.col("size") / wide, F.col("items") / BLOCK_ITEMS)).cast("int")
+    dealt = many.join(weights, "path").select(
+        "node", "run", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block")
+    )
+    met = stage(
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "node", "run", "path", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        ),
+        "block-members",
+    )
+    keys = ["path", "i", "j"]
+    # The low half of a token is compared: halves differ where tokens do, but for one in 2^32.
+    half = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+    signed = nodes.select("node", "n", half.alias("sig")).join(marks, "node")
+
+    def named(rows: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(rows), dtype=bool)
+        for x, y in _near_pairs(rows, runs, tokens, similarity):
+            hit[x] = True
+            hit[y] = True
+        return rows.loc[hit, ["node", "run", "path", "block", "i", "j"]]
+
+    needed = stage(
+        met.join(signed, "node").groupBy(*keys).applyInPandas(named, "node long, run int, path long, block int, i int, j int"),
+        "block-needs",
+    )
+
+    def verified(rows: pd.DataFrame) -> pd.DataFrame:
+        items = list(rows["items"])
+        _, flat = np.unique(np.concatenate(items), return_inverse=True)
+        ends = np.cumsum([len(s) for s in items])
+        own = [flat[e - len(s) : e] for e, s in zip(ends, items, strict=True)]
+        mark = np.zeros(int(flat.max()) + 1, dtype=bool)
+        links, ones, twos = np.zeros(len(rows), dtype=np.int64), [], []
+        for x, y in _near_pairs(rows, runs, tokens, similarity):
+            for a in np.unique(x):
+                mark[own[a]] = True
+                for b in y[x == a]:
+                    common = int(np.count_nonzero(mark[own[b]]))
+                    if common / (len(own[a]) + len(own[b]) - common) >= similarity:
+                        links[a] += 1
+                        links[b] += 1
+                        ones.append(a)
+                        twos.append(b)
+                mark[own[a]] = False
+        node = rows["node"].to_numpy()
+        forest = _spanning(np.array(ones, dtype=int), np.array(twos, dtype=int), len(rows))
+        linked = np.flatnonzero(links)
+        return pd.DataFrame(
+            {
+                "a": np.concatenate((node[linked], node[[x for x, _ in forest]])).astype(np.int64),
+                "b": pd.array([None] * len(linked) + [int(node[y]) for _, y in forest], dtype="Int64"),
+                "n_links": np.concatenate((links[linked], np.zeros(len(forest), dtype=np.int64))),
+            }
+        )
+
+    found = stage(
+        needed.join(signed, "node").join(sets_of(needed.select("node").distinct()), "node")
+        .groupBy(*keys).applyInPandas(verified, "a long, b long, n_links long"),
+        "block-links",
+    )
+    counts = found.where(F.col("b").isNull()).select(F.col("a").alias("node"), "n_links")
+    return counts, found.where(F.col("b").isNotNull()).select("a", "b")
 
 
 def links(
     docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     recall: float = RECALL,
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes, and pairs (a < b, similarity) of nodes at or above the threshold."""
+    """(node, n_links) of all linked nodes, and edges (a, b) that join what is linked."""
+    runs = runs_for(recall, similarity)
     nodes = stage(
         signed.where(F.col("n") > 0)
         .groupBy("node")
         .agg(F.first("sig").alias("sig"), F.min("row").alias("row"), F.max("n").alias("n")),
         "nodes",
     )
-    pairs = candidates(nodes, runs_for(recall, similarity))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = stage(nodes.join(some, "node").select("node", "row"), "wanted")
+        texts = docs.select(row_key().alias("row"), "text").join(
+            small_side(wanted.select("row")), "row", "left_semi"
+        )
+        return stage(
+            shingle_rows(texts, words).dropDuplicates(["row"]).join(small_side(wanted), "row").select("node", "items"),
+            "sets",
+        )
+
+    pairs, many = buckets_of(nodes, runs)
+    # The runs in which a node is in a large bucket.
+    marks = stage(many.groupBy("node").agg(F.collect_set("run").alias("runs")), "large-runs")
+    side = nodes.join(marks, "node", "left")
+    right = side.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+    left = side.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"), F.coalesce("runs", F.array().cast("array<int>")).alias("runs"))
+    same = F.zip_with("sa", "sb", lambda x, y: x == y)
+    # Pairs that also met in a large bucket are counted there.
+    both = F.exists("runs", lambda r: F.forall(F.slice(same, r * DEPTH + 1, DEPTH), lambda e: e))
     near = stage(
         pairs.join(left, "a")
         .join(right, "b")
         # Sets whose sizes differ too much cannot reach the threshold.
         .where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 0.5)
-        .where(equal >= int(ESTIMATE * TOKENS))
+        .where(F.size(F.filter(same, lambda e: e)) >= int(ESTIMATE * TOKENS))
+        .where(~both)
         .select("a", "b"),
         "near",
     )
-    wanted = stage(
-        nodes.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node").select(
-            "node", "row"
-        ),
-        "wanted",
-    )
-    texts = docs.select(row_key().alias("row"), "text").join(
-        small_side(wanted.select("row")), "row", "left_semi"
-    )
-    sets = stage(
-        shingle_rows(texts, words).dropDuplicates(["row"]).join(small_side(wanted), "row").select("node", "items"),
-        "sets",
-    )
+    sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     common = F.size(F.array_intersect("ia", "ib"))
     value = common / (F.size("ia") + F.size("ib") - common)
-    exact = (
+    exact = stage(
         near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
         .select("a", "b", value.alias("similarity"))
         .where(F.col("similarity") >= similarity)
+        .select("a", "b"),
+        "links",
     )
-    return nodes, stage(exact, "links")
+    counts = exact.select(F.col("a").alias("node")).union(exact.select("b")).withColumn("n_links", F.lit(1).cast("long"))
+    edges = exact
+    if not marks.isEmpty():
+        more, joined = block_links(many, nodes, marks, sets_of, runs, TOKENS, similarity)
+        counts, edges = counts.unionByName(more), edges.unionByName(joined)
+    return counts.groupBy("node").agg(F.sum("n_links").alias("n_links")), edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,13 +362,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(row, doc_id, node, root, n_links) for every row of ``docs``."""
     signed = stage(signatures(docs, words), "signed")
-    _, linked = links(docs, signed, similarity, words, recall)
-    roots = components(linked)
-    degree = (
-        linked.select(F.col("a").alias("node")).union(linked.select("b"))
-        .groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    )
-    facts = roots.join(degree, "node")
+    degree, edges = links(docs, signed, similarity, words, recall)
+    facts = components(edges).join(degree, "node")
     return (
         signed.select("row", "doc_id", "node")
         .join(facts, "node", "left")

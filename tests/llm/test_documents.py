@@ -250,6 +250,29 @@ def test_ngram_join_piles(spark):
     assert kept == {w[1] for w in want}
 
 
+def varied(rng, base, name, n, changes):
+    out = []
+    for i in range(n):
+        w = list(base)
+        for p in rng.choice(len(base), changes(i), replace=False):
+            w[p] = f"{name}{i}_{p}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 20])
+def test_ngram_join_piles_list_all_links(spark, monkeypatch, block):
+    """Links inside piles of more texts than a small bucket, or a block, are counted one by one."""
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", block)
+    rng = np.random.default_rng(8)
+    texts = varied(rng, [f"b{i}" for i in range(200)], "x", 150, lambda i: i % 4)
+    texts += varied(rng, [f"c{i}" for i in range(300)], "y", 40, lambda i: 1)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_brute(frame.collect())
+    assert max(w[2] for w in want) > 50
+    assert sorted(map(tuple, ngram_join.classified(frame).collect()), key=repr) == want
+
+
 def test_one_of_each_keeps_whole_rows(odd):
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns
