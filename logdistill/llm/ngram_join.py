@@ -50,6 +50,11 @@ def runs_for(recall: float = RECALL, similarity: float = SIMILARITY, depth: int
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
 
 
+def tokens_for(runs: int) -> int:
+    """Tokens of a signature, so that every run has its own."""
+    return max(TOKENS, runs * DEPTH)
+
+
 def _signed(texts: pd.Series) -> list[str]:
     return ["" if t is None else t for t in texts]
 
@@ -267,6 +272,7 @@ def links(
 ) -> tuple[DataFrame, DataFrame]:
     """(node, n_links) of all linked nodes, and edges (a, b) that join what is linked."""
     runs = runs_for(recall, similarity)
+    tokens = tokens_for(runs)
     nodes = stage(
         signed.where(F.col("n") > 0)
         .groupBy("node")
@@ -298,7 +304,7 @@ def links(
         .join(right, "b")
         # Sets whose sizes differ too much cannot reach the threshold.
         .where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 0.5)
-        .where(F.size(F.filter(same, lambda e: e)) >= int(ESTIMATE * TOKENS))
+        .where(F.size(F.filter(same, lambda e: e)) >= int(ESTIMATE * tokens))
         .where(~both)
         .select("a", "b"),
         "near",
@@ -317,7 +323,7 @@ def links(
     counts = exact.select(F.col("a").alias("node")).union(exact.select("b")).withColumn("n_links", F.lit(1).cast("long"))
     edges = exact
     if not marks.isEmpty():
-        more, joined = block_links(many, nodes, marks, sets_of, runs, TOKENS, similarity)
+        more, joined = block_links(many, nodes, marks, sets_of, runs, tokens, similarity)
         counts, edges = counts.unionByName(more), edges.unionByName(joined)
     return counts.groupBy("node").agg(F.sum("n_links").alias("n_links")), edges
 
@@ -361,7 +367,7 @@ def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL
 ) -> DataFrame:
     """(row, doc_id, node, root, n_links) for every row of ``docs``."""
-    signed = stage(signatures(docs, words), "signed")
+    signed = stage(signatures(docs, words, tokens_for(runs_for(recall, similarity))), "signed")
     degree, edges = links(docs, signed, similarity, words, recall)
     facts = components(edges).join(degree, "node")
     return (

@@ -273,6 +273,28 @@ def test_ngram_join_piles_list_all_links(spark, monkeypatch, block):
     assert sorted(map(tuple, ngram_join.classified(frame).collect()), key=repr) == want
 
 
+def test_ngram_join_pairs_in_a_crowd(spark):
+    """Pairs at 0.8 among 2,500 texts that share 0.7 with each other."""
+    base = " ".join(f"b{i}" for i in range(164))
+    rows = []
+    for i in range(2_500):
+        # The shared words give 160 shingles, every other word one: 160/228, and 173/215 in pairs.
+        pair = i // 2 if i < 60 else i + 100
+        own = [f"p{pair}x{j}" for j in range(13)] + [f"u{i}x{j}" for j in range(21)]
+        rows.append((i, base + " " + " ".join(own)))
+    got = ngram_join.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, i // 2 * 2, 1) if i < 60 else (i, i, 0) for i in range(2_500)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_runs_take_tokens_of_their_own():
+    for recall in (0.9999, 1 - 1e-9):
+        runs = ngram_join.runs_for(recall)
+        steps = ngram_join._steps(runs, ngram_join.DEPTH)
+        assert len(set(steps.ravel().tolist())) == steps.size <= ngram_join.tokens_for(runs)
+        assert 1 - (1 - 0.8**ngram_join.DEPTH) ** runs >= recall
+
+
 def test_one_of_each_keeps_whole_rows(odd):
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns
