@@ -50,7 +50,11 @@ CLASSES = (
     ),
     CharClass(
         "lower",
-        _NO_DIGEST + r"(?<![A-Za-z0-9+/_-])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.5,
+        _NO_DIGEST + r"(?<![A-Za-z0-9_-])(?=[a-z_-]*[0-9])(?=[0-9_-]*[a-z])[a-z0-9_-]{20,}={0,2}(?![A-Za-z0-9_-])", 20, 3.5,
+    ),
+    CharClass(
+        "upper",
+        _NO_DIGEST + r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{20,}={0,6}(?![A-Za-z0-9])", 20, 3.5,
     ),
 )
 ALLOW = (
@@ -58,6 +62,8 @@ ALLOW = (
     r"(?i)abcdefghij|0123456789|example|placeholder|lorem",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[A-Za-z/_-]+[0-9]{0,4}$",
+    # Words with one or two short numbers between them, as in addresses of articles.
+    r"^[a-z]+(?:[_-][a-z]+)*(?:[_-][0-9]{1,4}(?:[_-][a-z]+)*){1,2}$",
 )
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "struct<start:int,end:int,kind:int,text:string>"
@@ -133,10 +139,20 @@ def entropy_spans(text: Column, base: Column, classes: tuple[CharClass, ...] = C
 
         return F.filter(match_spans(text, c.pattern, KINDS.index("entropy")), secret)
 
-    return F.filter(
+    # Several classes may find a secret or a part of it: the longest span stays.
+    def longest(spans: Column) -> Column:
+        def inside(s: Column, o: Column) -> Column:
+            longer = (o["end"] - o["start"]) > (s["end"] - s["start"])
+            return longer & (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+
+        return F.filter(spans, lambda s: ~F.exists(spans, lambda o: inside(s, o)))
+
+    found = F.filter(
         F.array_distinct(F.concat(*[of(c) for c in classes])),
         lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
+    # The one-element array binds the spans once.
+    return F.get(F.transform(F.array(found), longest), 0)
 
 
 def find_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES) -> DataFrame:
