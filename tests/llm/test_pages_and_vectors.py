@@ -111,6 +111,20 @@ def test_page_texts(spark, pages, odd_pages):
     assert page_text.main_texts(pages.where("false")).count() == 0
 
 
+def test_copies_of_pages_are_not_paired(spark):
+    body = "<div>Name</div><p>{0} text</p><div>All rights</div>"
+    rows = [
+        (1, "http://a.b/x/1", body.format("one")), (2, "http://a.b/x/1", body.format("one")),
+        (3, "http://a.b/x/1?ref=q", body.format("one")), (4, "http://a.b/x/2", body.format("two")),
+        (5, "http://c.d/", body.format("one")), (6, "http://c.d/", body.format("one")), (6, "http://c.d/", body.format("one")),
+    ]
+    got = page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    whole = "Name\n\none text\n\nAll rights"
+    assert sorted((r.page_id, r.text) for r in got) == [
+        (1, "one text"), (2, "one text"), (3, "one text"), (4, "two text"), (5, whole), (6, whole), (6, whole),
+    ]
+
+
 def nearest_brute(rows, queries, k=10):
     seen = {(r.vec_id, tuple(r.embedding)) for r in rows}
     ids = np.array([i for i, _ in seen])
