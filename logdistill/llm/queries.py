@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logdistill.llm import ann, decontaminate, language, licenses, line_dedup, mixing, ngram_join, page_text, secrets, warc
+from logdistill.llm import (
+    alignment,
+    ann,
+    decontaminate,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    ngram_join,
+    page_text,
+    prefix_trie,
+    secrets,
+    sharding,
+    warc,
+)
 from logdistill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +47,14 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": _over("documents", secrets.secret_documents),
     "op9_language": _over("documents", language.languages),
     "op10_line_dedup": _over("documents", line_dedup.lean_documents),
+    "op11_alignment": _over("documents", alignment.alignment_report),
+    "op12_sharding": _over("documents", sharding.shard_documents),
+    "op13_prefix_trie": _over("conversations", prefix_trie.prefix_nodes),
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE,
     "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

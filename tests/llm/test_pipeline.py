@@ -25,8 +25,8 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] and "pipeline" in names
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 NATIVE = ("op1_licenses", "op3_decontamination", "op7_mixing", "op8_secrets", "op10_line_dedup")
