@@ -37,11 +37,11 @@ TOKENIZERS = "/opt/tokenizers"
 BYTES_MODEL = "byte_bpe_50k.json"
 PIECES_MODEL = "piece_bpe_32k.model"
 # Characters encoded together in a task; a longer text is a chunk of its own.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 # Distinct pairs that a task holds before it hands them on.
 HELD = 1_000_000
 # Characters of distinct segments that a task keeps encoded.
-KNOWN = 10_000_000
+KNOWN = 4_000_000
 # A pair of ids is one number: the id of A times this, plus the id of B.
 WIDTH = 1 << 24
 BORDER = re.compile(r"(?<=[0-9A-Za-z.,;:!?]) (?=[0-9A-Za-z])")
