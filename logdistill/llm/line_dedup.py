@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logdistill.llm.common import BLANK, UPPER, small_side, stage, text_key
+from logdistill.llm.common import UPPER, small_side, stage, text_key
 
 MIN_CHARS = 1
 MIN_DOCUMENTS = 10
 BATCHES = 4
 FAN_IN = 2
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -30,8 +31,7 @@ def lines_of(text: Column) -> Column:
 
 
 def key_of(line: Column) -> Column:
-    stripped = F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", "")
-    return F.translate(stripped, UPPER, UPPER.lower())
+    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:

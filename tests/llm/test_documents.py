@@ -45,6 +45,16 @@ def test_line_dedup_odd(odd):
     assert line_dedup.lean_documents(odd.where("false")).count() == 0
 
 
+def test_line_keys_strip_six_characters_only(spark):
+    """Other line ends and blanks belong to a key: two spellings in six documents are not one in twelve."""
+    for mark in ("\u0085", "\u2028", "\u2029", "\xa0"):
+        lines = [f"\x0b abc {mark}", f"abc{mark}\t"]
+        frame = spark.createDataFrame([(i, lines[i % 2]) for i in range(12)], "doc_id long, text string")
+        assert sorted(map(tuple, line_dedup.lean_documents(frame).collect()), key=repr) == lines_brute(frame.collect(), 1, 10)
+        same = spark.createDataFrame([(i, f" \r{mark}ABC\x0c" if i % 2 else f"{mark}abc") for i in range(12)], "doc_id long, text string")
+        assert all(r.n_dropped for r in line_dedup.lean_documents(same).collect())
+
+
 def test_mixing(docs, odd):
     for frame in (docs, odd):
         rows = mixing.mixed_sizes(frame).collect()
