@@ -913,6 +913,27 @@ def k2_trace_in_windows(spark, sf_dir):
     return traced.totals.select("window_id", "request_id", "total_events")
 
 
+@query(
+    "k2_trace_mixed_ids",
+    LOGS + """, ids AS (
+      SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'gauges/' || CAST(user_id AS VARCHAR) WHEN 1 THEN substr(md5(CAST(event_id AS VARCHAR)), 1, 12)
+        ELSE '.' || CAST(event_id % 200 AS VARCHAR) || '.9' END AS request_id FROM events WHERE event_type = 'error')
+    SELECT log_group, request_id, count(*) AS total_events, count(*) > 100 AS truncated
+    FROM logs JOIN ids ON contains(message, request_id) GROUP BY log_group, request_id""",
+)
+def k2_trace_mixed_ids(spark, sf_dir):
+    """Ids without a common beginning and of many lengths, most of which no message holds."""
+    failed = V.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    number = F.col("event_id").cast("string")
+    ids = failed.select(
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("gauges/"), F.col("user_id").cast("string")))
+        .when(F.col("event_id") % 3 == 1, F.substring(F.md5(number), 1, 12))
+        .otherwise(F.concat(F.lit("."), (F.col("event_id") % 200).cast("string"), F.lit(".9")))
+        .alias("request_id")
+    )
+    return R.trace_totals(V.logs(spark, sf_dir), ids)
+
+
 @query(
     "k2_trace_conversation",
     """SELECT CAST(role AS VARCHAR) AS log_group, 'que' AS request_id, count(*) AS total_events, count(*) > 100 AS truncated

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from logdistill.config import DEFAULTS, Config
 from logdistill.functions import patterns as P
-from logdistill.operators.common import null_safe_join, numbered
+from logdistill.operators.common import null_safe_join, numbered, stage
 from logdistill.operators.enrich import extract_fields, redact
+from logdistill.operators.idfilter import bloom_filter, filter_bits, probe_hits, probes_of
 
-# Id tables with more characters than this are not broadcast by a trace.
+# Id tables with more characters or rows than this are not broadcast by a trace.
 BROADCAST_ID_CHARS = 64 << 20
+BROADCAST_IDS = 1_000_000
 EVENT_KEY = ("ts", "message", "log_stream")
 
 
@@ -166,10 +168,10 @@ def volume_timeline(
 def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) -> DataFrame:
     """Events with each given id their message holds as a substring.
 
-    A short list is folded into the projection.  For a table of ids the messages are
-    cut into all substrings of the lengths that occur among the ids, which makes
-    "contains" an equal join: no pair of event and id is tried that does not match.
-    The ids are broadcast if their measured size allows it.
+    A short list is folded into the projection.  For a table of ids, a Bloom filter of
+    their rarest runs of characters is tested on every message in the projection; only
+    runs that pass become rows, and an equal join finds their ids.  The ids are broadcast
+    if their measured size allows it.
     """
     message = F.col("message")
     if not isinstance(request_ids, DataFrame):
@@ -184,34 +186,33 @@ def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) ->
     ids = request_ids.select(F.col("request_id").alias("wanted_id")).where(
         F.length("wanted_id") > 0
     ).distinct()
-    facts = ids.agg(
-        F.collect_set(F.length("wanted_id")).alias("lengths"), F.count(F.lit(1)).alias("n"),
+    probes = stage(probes_of(ids), "id-probes")
+    size = F.char_length("probe")
+    facts = probes.agg(
+        F.collect_set(size).alias("sizes"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.length("wanted_id") + size).alias("chars"),
         F.min("wanted_id").alias("lowest"), F.max("wanted_id").alias("highest"),
     ).first()
     if not facts["n"]:
         return events.withColumn("wanted_id", F.lit(None).cast("string")).where(F.lit(False))
-
-    # What the lowest and the highest id start with, all do: only there can one begin.
+    # What the lowest and the highest id start with, all do.
     prefix = commonprefix([facts["lowest"], facts["highest"]])
-    starts = F.sequence(F.lit(1), F.length(message))
     if prefix:
         events = events.where(message.contains(prefix))
-        starts = F.filter(
-            starts, lambda i: F.substring(message, i, F.lit(len(prefix))) == F.lit(prefix)
-        )
-    events = events.where(F.length(message) > 0).withColumn("__starts", starts)
-
-    def cuts(n: int) -> Column:
-        fitting = F.filter("__starts", lambda i: i <= F.length(message) - (n - 1))
-        return F.transform(fitting, lambda i: F.substring(message, i, F.lit(n)))
-
-    every = F.concat(*[cuts(n) for n in sorted(facts["lengths"])])
-    pieces = events.withColumn("wanted_id", F.explode_outer(F.array_distinct(every))).drop(
-        "__starts"
+    bits = filter_bits(facts["n"])
+    words = stage(bloom_filter(probes, bits), "id-filter").scalar()
+    hits = probe_hits(message, F.col("__words"), bits, sorted(facts["sizes"]))
+    # The outer explode keeps the optimizer from testing all runs once more in a filter.
+    pieces = (
+        events.withColumn("__words", words)
+        .withColumn("probe", F.explode_outer(hits))
+        .drop("__words")
+        .where(F.col("probe").isNotNull())
     )
-    if facts["n"] * max(facts["lengths"]) <= BROADCAST_ID_CHARS:
-        ids = F.broadcast(ids)
-    return pieces.join(ids, "wanted_id")
+    if facts["chars"] <= BROADCAST_ID_CHARS and facts["n"] <= BROADCAST_IDS:
+        probes = F.broadcast(probes)
+    # An id has one probe, so each pair of event and id is met once.
+    return pieces.join(probes, "probe").where(message.contains(F.col("wanted_id"))).drop("probe")
 
 
 def _trace_matches(events, request_ids, scope, cfg) -> DataFrame:

@@ -14,15 +14,18 @@ from logdistill.operators import compare as D
 from logdistill.operators.common import null_safe_join
 from logdistill.operators.evidence import build_comparison_evidence, build_evidence
 from logdistill.operators.filters import contains_filters, level_filter
-from logdistill.operators.retrieve import (
-    dedupe_events,
-    trace_requests,
-    trace_totals,
-    volume_timeline,
+from logdistill.operators.intervals import (
+    INTERVAL,
+    events_in_intervals,
+    minute_counts,
+    staged_sweep,
+    window_timeline,
+    windows_of,
 )
+from logdistill.operators.retrieve import dedupe_events, trace_requests, trace_totals
 from logdistill.operators.stats import window_profile
 from logdistill.operators.windows import check_windows, events_in_windows
-from logdistill.plans.reduce import Reduction, reduce_events
+from logdistill.plans.reduce import Reduction, reduce_events, reduce_intervals
 
 # More than any window spans, yet small enough to count in microseconds.
 ANY_MINUTES = 10**11
@@ -46,13 +49,18 @@ class IncidentReport:
         )
 
 
+def wanted_events(events: DataFrame, level: str | None = "ERROR", **filters) -> DataFrame:
+    """The bare columns of the events that pass the filters."""
+    base = events.select("log_group", "log_stream", "ts", "message")
+    return contains_filters(level_filter(base, level), **filters)
+
+
 def matching_events(
     events: DataFrame, windows: DataFrame, extra: Sequence[str] = (), level: str | None = "ERROR",
     **filters,
 ) -> DataFrame:
     """Filtered events of every window, with the window's columns."""
-    base = events.select("log_group", "log_stream", "ts", "message")
-    wanted = contains_filters(level_filter(base, level), **filters)
+    wanted = wanted_events(events, level, **filters)
     return events_in_windows(wanted, windows.select(*WINDOW_SCOPE, *extra))
 
 
@@ -76,10 +84,13 @@ def _report(
 ) -> IncidentReport:
     checked = checked_windows(windows, cfg, allowlist, max_minutes)
     # Rejected windows are never joined with events.
-    matched = matching_events(events, checked.where(F.col("invalid_reason").isNull()), **filters)
-    timeline = volume_timeline(matched, WINDOW_SCOPE)
-    unique = dedupe_events(matched, WINDOW_SCOPE)
-    r = reduce_events(unique, WINDOW_SCOPE, F.col("window_end"), cfg)
+    valid = checked.where(F.col("invalid_reason").isNull())
+    intervals, members = staged_sweep(valid, WINDOW_SCOPE)
+    matched = events_in_intervals(wanted_events(events, **filters), intervals)
+    minutes = windows_of(minute_counts(matched, INTERVAL), members)
+    timeline = window_timeline(minutes, WINDOW_SCOPE)
+    unique = dedupe_events(matched, INTERVAL)
+    r = reduce_intervals(unique, members, WINDOW_SCOPE, F.col("window_end"), cfg)
     # Windows without a matching event get the calm row.
     rejected = F.col("invalid_reason").isNotNull()
     none = F.col("events_after_filtering").isNull() | (F.col("clusters") == 0)
@@ -217,9 +228,10 @@ def compare_windows(
     """
     checked = checked_windows(windows, cfg, allowlist, max_minutes)
     valid = checked.where(F.col("invalid_reason").isNull())
-    matched = matching_events(events, valid, ("side",), service=service)
     full = [*scope, "side", "window_start", "window_end"]
-    r = reduce_events(matched, full, F.col("window_end"), cfg, keep_events=False)
+    intervals, members = staged_sweep(valid, full)
+    matched = events_in_intervals(wanted_events(events, service=service), intervals)
+    r = reduce_intervals(matched, members, full, F.col("window_end"), cfg, keep_events=False)
     bounds = ("window_start", "window_end")
     ranked = r.clusters.drop(*bounds)
     sided = [*scope, "side"]

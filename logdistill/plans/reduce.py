@@ -14,6 +14,7 @@ from logdistill.functions.traces import PARSERS, TraceParser
 from logdistill.operators import clusters as C
 from logdistill.operators.common import null_safe_join, stage
 from logdistill.operators.enrich import prepare
+from logdistill.operators.intervals import INTERVAL, window_signatures, windows_of
 from logdistill.operators.sampling import sample_events
 from logdistill.operators.stats import reduction_stats
 
@@ -99,3 +100,25 @@ def reduce_events(
         enriched = stage(enriched, "enriched")
     sigs = stage(C.signatures(enriched, scope), "signatures")
     return Reduction(enriched, sigs, tuple(scope), window_end, cfg, source_truncated)
+
+
+def reduce_intervals(
+    events: DataFrame,
+    members: DataFrame,
+    scope: Sequence[str],
+    window_end: Column,
+    cfg: Config = DEFAULTS,
+    parsers: Sequence[TraceParser] = PARSERS,
+    keep_events: bool = True,
+) -> Reduction:
+    """Reduce windows that may overlap from events that each lie in one interval.
+
+    Events are redacted, enriched and counted by interval, so once each; ``members`` tells
+    which windows an interval counts for.  Samples read the staged events by window.
+    """
+    enriched = prepare(events, cfg, parsers)
+    if keep_events:
+        enriched = stage(enriched, "enriched")
+    partials = stage(C.signatures(enriched, INTERVAL), "interval-signatures")
+    sigs = stage(window_signatures(partials, members, scope), "signatures")
+    return Reduction(windows_of(enriched, members), sigs, tuple(scope), window_end, cfg)
