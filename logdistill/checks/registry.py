@@ -24,6 +24,7 @@ from logdistill.operators import evidence as EV
 from logdistill.operators import filters as FL
 from logdistill.operators import ops as O
 from logdistill.operators import retrieve as R
+from logdistill.operators import rollups as RU
 from logdistill.operators import sampling as S
 from logdistill.operators import stats as ST
 from logdistill.operators import validate as VA
@@ -1239,6 +1240,80 @@ def e5_overlapping_windows(spark, sf_dir):
     return _cluster_rows(report.clusters, "window_id")
 
 
+_SLICED_SQL = WITH_ENRICHED + f""", w AS ({V.DAYS_SQL}),
+    m AS (SELECT w.*, event_id, ts, fingerprint, is_blank FROM enr JOIN w ON enr.log_group = w.log_group
+      AND ts >= window_start AND ts < window_end WHERE is_error),
+    n AS (SELECT *, least(12, CAST(ceil(count(*) OVER (PARTITION BY window_id) / 10.0) AS BIGINT)) AS slices FROM m),
+    s AS (SELECT *, least(slices - 1, (epoch_us(ts) - epoch_us(window_start)) * slices // (epoch_us(window_end) - epoch_us(window_start))) AS slice_no FROM n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY window_id, slice_no ORDER BY ts DESC) AS row_no,
+      count(*) OVER (PARTITION BY window_id, slice_no) > 10 AS cut FROM s),
+    o AS (SELECT window_id, count(*) FILTER (row_no <= 10) AS events, any_value(slices) AS query_slices, bool_or(cut) AS truncated,
+      count(DISTINCT CASE WHEN row_no <= 10 AND NOT is_blank THEN fingerprint END) AS logical_events,
+      CASE WHEN bool_or(cut) THEN min(ts) FILTER (row_no <= 10) END AS covered_from FROM r GROUP BY window_id)"""
+
+
+@query(
+    "e5_sliced",
+    _SLICED_SQL + """ SELECT window_id, events, logical_events, query_slices, truncated, epoch_us(covered_from) AS covered_us FROM o""",
+)
+def e5_sliced(spark, sf_dir):
+    """Reports over the newest ten events of each slice tell from when on they looked."""
+    overview = sliced_report(spark, sf_dir).overview
+    return overview.select(
+        "window_id", "events", "logical_events", "query_slices", "truncated", us("covered_from").alias("covered_us")
+    )
+
+
+def sliced_report(spark, sf_dir) -> I.IncidentReport:
+    days = V.windows(spark, sf_dir, V.DAYS_SQL)
+    return I.analyze(V.logs(spark, sf_dir), days, retrieval_limit=10)
+
+
+@query(
+    "e1_truncation_note",
+    _SLICED_SQL + """ SELECT window_id, events AS total, CASE WHEN truncated THEN 'retrieval stopped at its limit: examples start at '
+      || strftime(covered_from, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00; counts per time bin are complete' END AS note FROM o""",
+)
+def e1_truncation_note(spark, sf_dir):
+    doc = F.col("evidence")
+    return sliced_report(spark, sf_dir).evidence().select(
+        "window_id", F.get_json_object(doc, "$.total_error_events").cast("bigint").alias("total"),
+        F.get_json_object(doc, "$.note").alias("note"),
+    )
+
+
+def rolled_up(spark, sf_dir):
+    """Reports over windows that begin and end within hours, from a roll-up written in two goes."""
+    path, wanted = new_path(spark, "rollup"), I.wanted_events(V.logs(spark, sf_dir))
+    even = F.pmod(F.unix_date(F.to_date("ts")), F.lit(2)) == 0
+    for some in (even, ~even, even):
+        RU.update_rollup(wanted.where(some), path)
+    windows = V.windows(spark, sf_dir, V.SHIFTED_SQL)
+    return I.report_from_rollup(V.logs(spark, sf_dir), windows, path)
+
+
+@query("a2_from_rollup", _day_sql().replace(V.DAYS_SQL, V.SHIFTED_SQL) + _DAY_COLUMNS + "50")
+def a2_from_rollup(spark, sf_dir):
+    return _cluster_rows(rolled_up(spark, sf_dir)[0].summaries(), "window_id")
+
+
+@query(
+    "a9_from_rollup",
+    _day_sql().replace(V.DAYS_SQL, V.SHIFTED_SQL)
+    + """ SELECT window_id, count(*) AS events, count(*) FILTER (NOT is_blank) AS events_after_filtering,
+      count(DISTINCT CASE WHEN NOT is_blank THEN fingerprint END) AS logical_events FROM wev GROUP BY window_id""",
+)
+def a9_from_rollup(spark, sf_dir):
+    stats = rolled_up(spark, sf_dir)[0].stats
+    return stats.select("window_id", "events", "events_after_filtering", "logical_events")
+
+
+@query("a8_from_rollup", ORACLES["a8_volume_timeline"].replace(V.DAYS_SQL, V.SHIFTED_SQL).replace("INTERVAL 60 MINUTES", "INTERVAL 120 MINUTES"))
+def a8_from_rollup(spark, sf_dir):
+    timeline = rolled_up(spark, sf_dir)[1]
+    return timeline.select("window_id", us("bin_start").alias("bin_us"), "event_count")
+
+
 @query(
     "s2_analyze_events",
     WITH_ENRICHED + """ SELECT log_group, count(*) AS events, count(DISTINCT CASE WHEN NOT is_blank THEN fingerprint END) AS logical_events,

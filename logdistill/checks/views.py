@@ -73,6 +73,10 @@ HALF_DAYS_SQL = DAYS_SQL.replace("date_trunc('day', ts) AS day FROM logs", "half
     "FROM (SELECT", "FROM (WITH halves AS (SELECT log_group, date_trunc('day', ts) AS half FROM logs UNION ALL "
     "SELECT log_group, date_trunc('day', ts) + INTERVAL 12 HOURS FROM logs) SELECT"
 )
+# Windows of 29 hours and some minutes that begin and end within hours.
+SHIFTED_SQL = DAYS_SQL.replace("day AS window_start", "day + INTERVAL 1050 SECONDS AS window_start").replace(
+    "day + INTERVAL 1 DAY AS window_end", "day + INTERVAL 106890 SECONDS AS window_end"
+)
 SIDES_SQL = f"""
 SELECT log_group || '#' || side AS window_id, log_group, side,
        CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-15 00:00:00' END AS window_start,

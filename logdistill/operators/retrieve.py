@@ -129,6 +129,64 @@ def slice_coverage(
     )
 
 
+# Time cells of a slice in which the place of its oldest kept event is found.
+CELLS = 4096
+
+
+def newest_of_slices(
+    events: DataFrame, scope: Sequence[str], cfg: Config = DEFAULTS, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The newest ``limit`` events of every slice of a window, without ranking them all.
+
+    A histogram of time cells tells in which cell a slice reaches the limit: events behind
+    that cell stay as they are, and only those inside it are ranked for the places left.
+    Also returns one row per window: ``matched``, ``returned``, ``slices``, ``truncated``
+    and, where it is, ``covered_from``, the time of the oldest event kept.
+    """
+    limit = cfg.query_limit if limit is None else limit
+    start = F.unix_micros("window_start")
+    span = F.unix_micros("window_end") - start
+    totals = events.groupBy(*scope).agg(F.count(F.lit(1)).alias("matched"))
+    totals = stage(totals.withColumn("slices", slice_counts(F.col("matched"), limit, cfg)), "window-totals")
+    at = F.least(F.floor((F.unix_micros("ts") - start) * F.col("slices") / span), F.col("slices") - 1)
+    width = F.greatest(F.lit(1), F.ceil(span / (F.col("slices") * CELLS)))
+    slice_start = start + F.ceil(span * F.col("slice_no") / F.col("slices"))
+    sliced = (
+        null_safe_join(events, totals.drop("matched"), scope)
+        .withColumn("slice_no", at)
+        .withColumn("cell", F.floor((F.unix_micros("ts") - slice_start) / width))
+    )
+    key = [*scope, "slice_no"]
+    newer_first = Window.partitionBy(*key).orderBy(F.desc("cell"))
+    newer = F.coalesce(F.sum("n").over(newer_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = (
+        sliced.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("newer", newer)
+        .groupBy(*key)
+        .agg(
+            F.min(F.when(F.col("newer") < limit, F.struct("cell", (F.lit(limit) - F.col("newer")).alias("room")))).alias("cut"),
+            F.sum("n").alias("held"),
+        )
+    )
+    cuts = stage(cuts.select(*key, "cut.*", "held").withColumnRenamed("cell", "cut_cell"), "slice-cuts")
+    placed = null_safe_join(sliced, cuts, key)
+    behind = placed.where(F.col("cell") > F.col("cut_cell"))
+    order = Window.partitionBy(*key).orderBy(*newest_first())
+    inside = (
+        placed.where(F.col("cell") == F.col("cut_cell"))
+        .withColumn("row_no", F.row_number().over(order))
+        .where((F.col("row_no") <= limit) & (F.col("row_no") <= F.col("room")))
+        .drop("row_no")
+    )
+    extra = ["slices", "slice_no", "cell", "cut_cell", "room", "held"]
+    kept = stage(behind.unionByName(inside).drop(*extra), "newest-events")
+    cut = cuts.groupBy(*scope).agg(
+        F.sum(F.least("held", F.lit(limit))).alias("returned"), F.max(F.col("held") > limit).alias("truncated")
+    )
+    facts = null_safe_join(null_safe_join(totals, cut, scope), kept.groupBy(*scope).agg(F.min("ts").alias("earliest")), scope)
+    return kept, facts.withColumn("covered_from", F.when(F.col("truncated"), F.col("earliest"))).drop("earliest")
+
+
 # --- timelines ----------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from logdistill.config import DEFAULTS, Config
 from logdistill.functions import patterns as P
 from logdistill.operators import compare as D
-from logdistill.operators.common import null_safe_join
+from logdistill.operators.common import null_safe_join, stage
+from logdistill.operators.enrich import prepare
 from logdistill.operators.evidence import build_comparison_evidence, build_evidence
 from logdistill.operators.filters import contains_filters, level_filter
 from logdistill.operators.intervals import (
@@ -22,7 +23,14 @@ from logdistill.operators.intervals import (
     window_timeline,
     windows_of,
 )
-from logdistill.operators.retrieve import dedupe_events, trace_requests, trace_totals
+from logdistill.operators.retrieve import (
+    dedupe_events,
+    newest_of_slices,
+    trace_requests,
+    trace_totals,
+    volume_timeline,
+)
+from logdistill.operators.rollups import rollup_signatures, rollup_timeline
 from logdistill.operators.stats import window_profile
 from logdistill.operators.windows import check_windows, events_in_windows
 from logdistill.plans.reduce import Reduction, reduce_events, reduce_intervals
@@ -80,17 +88,26 @@ def _report(
     status: str,
     allowlist: Sequence[str] | None = None,
     max_minutes: int | None = None,
+    retrieval_limit: int | None = None,
     **filters,
 ) -> IncidentReport:
     checked = checked_windows(windows, cfg, allowlist, max_minutes)
     # Rejected windows are never joined with events.
     valid = checked.where(F.col("invalid_reason").isNull())
-    intervals, members = staged_sweep(valid, WINDOW_SCOPE)
-    matched = events_in_intervals(wanted_events(events, **filters), intervals)
-    minutes = windows_of(minute_counts(matched, INTERVAL), members)
-    timeline = window_timeline(minutes, WINDOW_SCOPE)
-    unique = dedupe_events(matched, INTERVAL)
-    r = reduce_intervals(unique, members, WINDOW_SCOPE, F.col("window_end"), cfg)
+    if retrieval_limit is None:
+        intervals, members = staged_sweep(valid, WINDOW_SCOPE)
+        matched = events_in_intervals(wanted_events(events, **filters), intervals)
+        minutes = windows_of(minute_counts(matched, INTERVAL), members)
+        timeline = window_timeline(minutes, WINDOW_SCOPE)
+        unique = dedupe_events(matched, INTERVAL)
+        r = reduce_intervals(unique, members, WINDOW_SCOPE, F.col("window_end"), cfg)
+    else:
+        # A limit holds per window, so windows keep events of their own.
+        matched = matching_events(events, valid, **filters)
+        timeline = volume_timeline(matched, WINDOW_SCOPE)
+        kept, covered = newest_of_slices(matched, WINDOW_SCOPE, cfg, retrieval_limit)
+        unique = dedupe_events(kept, WINDOW_SCOPE)
+        r = reduce_events(unique, WINDOW_SCOPE, F.col("window_end"), cfg, source_truncated=covered)
     # Windows without a matching event get the calm row.
     rejected = F.col("invalid_reason").isNotNull()
     none = F.col("events_after_filtering").isNull() | (F.col("clusters") == 0)
@@ -120,6 +137,7 @@ def analyze(
     service: str | None = None,
     allowlist: Sequence[str] | None = None,
     max_minutes: int | None = None,
+    retrieval_limit: int | None = None,
 ) -> IncidentReport:
     """The deterministic report of every window: filter, timeline, dedup, reduce, top clusters.
 
@@ -127,9 +145,13 @@ def analyze(
     evidence documents are what a model would be given.  Windows without bounds, with
     an end not after the start, of a log group outside ``allowlist`` or longer than
     ``max_minutes`` have status ``rejected`` and an ``invalid_reason``.
+
+    With ``retrieval_limit`` a window is cut into slices of which each yields its newest
+    events only; overview and documents then tell from when on events were looked at.
     """
     return _report(
-        events, windows, cfg, cfg.report_clusters, "unavailable", allowlist, max_minutes, service=service
+        events, windows, cfg, cfg.report_clusters, "unavailable", allowlist, max_minutes,
+        retrieval_limit, service=service,
     )
 
 
@@ -151,6 +173,22 @@ def search_errors(
     )
 
 
+def report_from_rollup(
+    events: DataFrame, windows: DataFrame, path: str, cfg: Config = DEFAULTS, **filters
+) -> tuple[Reduction, DataFrame]:
+    """Reduction and timeline of every window from a roll-up and the ends of windows.
+
+    ``path`` was written by ``update_rollup`` from events with the same filters.  Nothing
+    but samples reads all events of a window.
+    """
+    wanted = wanted_events(events, **filters)
+    asked = windows.select(*WINDOW_SCOPE)
+    sigs = rollup_signatures(events.sparkSession, path, wanted, asked, WINDOW_SCOPE, cfg)
+    full = prepare(dedupe_events(events_in_windows(wanted, asked), WINDOW_SCOPE), cfg)
+    r = Reduction(full, stage(sigs, "signatures"), WINDOW_SCOPE, F.col("window_end"), cfg)
+    return r, rollup_timeline(events.sparkSession, path, wanted, asked, WINDOW_SCOPE)
+
+
 @dataclass(frozen=True)
 class Traces:
     """First events and totals of requests per window, and the windows not looked at."""
