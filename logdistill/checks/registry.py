@@ -29,7 +29,7 @@ from logdistill.operators import sampling as S
 from logdistill.operators import stats as ST
 from logdistill.operators import validate as VA
 from logdistill.operators import windows as W
-from logdistill.operators.common import new_path
+from logdistill.operators.common import new_path, stage
 from logdistill.plans import incident as I
 from logdistill.plans.reduce import reduce_events
 from logdistill.sources import events as SE
@@ -111,6 +111,46 @@ def s1_log_rows(spark, sf_dir):
     return SE.rows_to_events(rows).select("log_group", us("ts").alias("ts_us"), "message", "log_stream")
 
 
+@query(
+    "s1_read_log_rows",
+    "WITH " + Q.enriched() + """, r AS (SELECT *, event_id // 40 % 10 = 7 AS broken, event_id % 11 = 3 AS untimed FROM enr),
+    d AS (SELECT log_group, count(DISTINCT event_id // 40) AS documents,
+        count(DISTINCT CASE WHEN broken THEN event_id // 40 END) AS broken_documents FROM r GROUP BY log_group)
+    SELECT log_group, d.documents, d.broken_documents, count(*) FILTER (NOT broken AND untimed) AS rejected_rows,
+      count(*) FILTER (NOT broken AND NOT untimed) AS events,
+      count(DISTINCT CASE WHEN NOT broken AND NOT untimed AND NOT is_blank THEN fingerprint END) AS logical_events,
+      count(*) FILTER (NOT broken AND untimed) > 0 AS truncated
+    FROM r JOIN d USING (log_group) GROUP BY log_group, d.documents, d.broken_documents""",
+)
+def s1_read_log_rows(spark, sf_dir):
+    """Events written as result documents, a tenth of them cut off, read back and reduced."""
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("field"), value.alias("value"))
+
+    stamp = F.when(F.col("event_id") % 11 == 3, F.lit("soon")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    )
+    document = F.floor(F.col("event_id") / 40)
+    row = F.array(pair("@timestamp", stamp), pair("@message", F.col("message")), pair("@logStream", F.col("log_stream")))
+    text = F.to_json(
+        F.struct(
+            F.collect_list(row).alias("results"),
+            F.struct(F.count(F.lit(1)).cast("double").alias("recordsMatched")).alias("statistics"),
+        )
+    )
+    written = V.logs(spark, sf_dir).groupBy("log_group", document.alias("document")).agg(text.alias("value"))
+    cut = F.when(F.col("document") % 10 == 7, F.expr("substring(value, 1, length(value) - 9)")).otherwise(F.col("value"))
+    path = new_path(spark, "results")
+    written.select("log_group", cut.alias("value")).write.partitionBy("log_group").text(path)
+    source = SE.read_result_files(spark, path)
+    reduction, _ = I.analyze_events(source.events)
+    told = source.files.groupBy("log_group").agg(
+        *[F.sum(c).alias(c) for c in ("documents", "broken_documents", "rejected_rows")], F.max("truncated").alias("truncated")
+    )
+    return reduction.stats.select("log_group", "events", "logical_events").join(told, "log_group")
+
+
 @query(
     "s2_from_table",
     """SELECT doc_id AS id, CAST(NULL AS VARCHAR) AS log_group, source AS log_stream, length(text) AS chars
@@ -480,6 +520,30 @@ def a1_logical_event_count(spark, sf_dir):
     return C.logical_events(reduced(spark, sf_dir).signatures, GROUP)
 
 
+@query(
+    "a1_approximate_logical_events",
+    "WITH " + Q.enriched() + f""", w AS ({V.DAYS_SQL})
+    SELECT window_id, count(DISTINCT fingerprint) AS logical_events, true AS near FROM enr JOIN w ON enr.log_group = w.log_group
+      AND ts >= window_start AND ts < window_end WHERE is_error AND NOT is_blank GROUP BY window_id""",
+)
+def a1_approximate_logical_events(spark, sf_dir):
+    """Sketches of hours united over days, next to the exact numbers, off by a twentieth at most."""
+    hourly = E.prepare(errors(spark, sf_dir)).withColumn("hour", F.date_trunc("hour", "ts"))
+    sigs = stage(C.signatures(hourly, ("log_group", "hour")), "hourly")
+    days = V.windows(spark, sf_dir, V.DAYS_SQL)
+
+    def by_day(table: DataFrame) -> DataFrame:
+        return W.events_in_windows(table.withColumnRenamed("hour", "ts"), days)
+
+    sketches = by_day(C.logical_sketches(sigs, ("log_group", "hour")))
+    about = C.approximate_logical_events(sketches, ("window_id",)).withColumnRenamed("logical_events", "about")
+    exact = C.logical_events(by_day(sigs), ("window_id",))
+    gap = F.abs(F.col("about") - F.col("logical_events"))
+    return exact.join(about, "window_id").select(
+        "window_id", "logical_events", (gap <= F.greatest(F.lit(1.0), F.col("logical_events") / 20)).alias("near")
+    )
+
+
 @query(
     "a2_cluster_events",
     WITH_CLUSTERS + """ SELECT log_group, cluster_id, exception_type, template, event_count,
@@ -1282,12 +1346,19 @@ def e1_truncation_note(spark, sf_dir):
     )
 
 
+_ROLLUPS: dict[tuple[str, str], str] = {}
+
+
 def rolled_up(spark, sf_dir):
-    """Reports over windows that begin and end within hours, from a roll-up written in two goes."""
-    path, wanted = new_path(spark, "rollup"), I.wanted_events(V.logs(spark, sf_dir))
-    even = F.pmod(F.unix_date(F.to_date("ts")), F.lit(2)) == 0
-    for some in (even, ~even, even):
-        RU.update_rollup(wanted.where(some), path)
+    """Reports over windows that begin and end within hours, from a roll-up written in parts, one of them twice."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLUPS:
+        path, wanted = new_path(spark, "rollup"), I.wanted_events(V.logs(spark, sf_dir))
+        even = F.pmod(F.unix_date(F.to_date("ts")), F.lit(2)) == 0
+        for some in (even, ~even, even):
+            RU.update_rollup(wanted.where(some), path)
+        _ROLLUPS[key] = path
+    path = _ROLLUPS[key]
     windows = V.windows(spark, sf_dir, V.SHIFTED_SQL)
     return I.report_from_rollup(V.logs(spark, sf_dir), windows, path)
 
@@ -1566,17 +1637,25 @@ def e8_score_analyses(spark, sf_dir):
 
 @query(
     "a13_volume_reduction",
-    LOGS + f""" SELECT log_group, count(*) AS events, CAST(sum(length(message) + 27) - 1 AS BIGINT) AS raw_chars,
-      (CAST(sum(length(message) + 27) - 1 AS BIGINT)) // 4 AS raw_tokens,
-      25 * length(log_group) AS report_chars, (25 * length(log_group)) // 4 AS report_tokens,
-      CAST(round((1.0 - 25.0 * length(log_group) / (sum(length(message) + 27) - 1)) * 100, 2) * 100 AS BIGINT) AS saved_e2
-    FROM logs WHERE contains(message, 'ERROR') OR contains(message, 'error') GROUP BY log_group""",
+    WITH_CLUSTERS + """, lines AS (SELECT log_group, CAST(sum(length(cluster_id || ' ' || event_count || ' ' || level || ' '
+        || coalesce(exception_type, '-') || ' ' || substr(template, 1, 300)) + 1) - 1 AS BIGINT) AS report_chars
+      FROM ranked WHERE rank <= 10 GROUP BY log_group),
+    dump AS (SELECT log_group, count(*) AS events, CAST(sum(length(message) + 27) - 1 AS BIGINT) AS raw_chars
+      FROM logs WHERE contains(message, 'ERROR') OR contains(message, 'error') GROUP BY log_group)
+    SELECT log_group, events, raw_chars, raw_chars // 4 AS raw_tokens, report_chars, report_chars // 4 AS report_tokens,
+      CAST(round((1.0 - CAST(report_chars AS DOUBLE) / raw_chars) * 100, 2) * 100 AS BIGINT) AS saved_e2
+    FROM dump JOIN lines USING (log_group)""",
 )
 def a13_volume_reduction(spark, sf_dir):
-    events = errors(spark, sf_dir)
-    # A text of known length stands for the report.
-    report = events.select("log_group").distinct().withColumn("evidence", F.repeat("log_group", F.lit(25)))
-    saved = ST.volume_reduction(events, report, GROUP)
+    """What the report of the ten best clusters saves against a dump of the events."""
+    line = F.concat_ws(
+        " ", "cluster_id", "event_count", "level", F.coalesce("exception_type", F.lit("-")), "template"
+    )
+    lines = reduced(spark, sf_dir).summaries(10).groupBy("log_group").agg(
+        F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines")
+    )
+    report = lines.select("log_group", F.array_join(F.col("lines.line"), "\n").alias("evidence"))
+    saved = ST.volume_reduction(errors(spark, sf_dir), report, GROUP)
     return saved.select(
         "log_group", "events", "raw_chars", "raw_tokens", "report_chars", "report_tokens",
         scaled("percent_saved", 100).alias("saved_e2"),

@@ -58,6 +58,22 @@ def logical_events(sigs: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
+# Register bits of the sketches: the standard error is about 1.04 / sqrt(2 ** bits), 1.6 %.
+SKETCH_BITS = 12
+
+
+def logical_sketches(sigs: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """A mergeable sketch of the distinct fingerprints per scope, for example per hour."""
+    return _visible(sigs).groupBy(*scope).agg(F.hll_sketch_agg("fingerprint", SKETCH_BITS).alias("sketch"))
+
+
+def approximate_logical_events(sketches: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """About how many distinct fingerprints the sketches of each scope hold together."""
+    return sketches.groupBy(*scope).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("logical_events")
+    )
+
+
 def cluster_events(sigs: DataFrame, scope: Sequence[str]) -> DataFrame:
     """One row per (scope, exception type, template).
 

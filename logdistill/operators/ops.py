@@ -49,16 +49,49 @@ def exact_median(df: DataFrame, by: Sequence[str], value: Column, name: str) ->
     return middle.groupBy(*group).agg(((F.min("__v") + F.max("__v")) / 2).alias(name))
 
 
+# Values that the last step of a selection may bring to the driver.
+FEW = 4096
+
+
+def overall_median(df: DataFrame, value: Column) -> float | None:
+    """The exact median over all rows, by repeated histograms of a shrinking range.
+
+    A pass counts the rows of 4,096 cells of the range and goes on with the cell of the
+    wanted rank, until few rows or one value are left.  Each pass is a filter and a count
+    that tasks fold to one row per cell; no row is shuffled or joined.
+    """
+    # NaN and infinite values have no place in a range.
+    rows = df.select(value.cast("double").alias("v")).where(F.abs("v") < float("inf"))
+    whole = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if not whole["n"]:
+        return None
+
+    def nth(rank: int) -> float:
+        low, high, n = whole["low"], whole["high"], whole["n"]
+        while low < high:
+            inside = rows.where(F.col("v").between(low, high))
+            if n <= FEW:
+                return sorted(r["v"] for r in inside.collect())[rank]
+            share = (F.col("v") - F.lit(low)) / F.lit(high - low)
+            cells = inside.groupBy(F.floor(share * CELLS).alias("cell")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+            )
+            for cell in sorted(cells.collect()):
+                if rank < cell["n"]:
+                    low, high, n = cell["low"], cell["high"], cell["n"]
+                    break
+                rank -= cell["n"]
+        return low
+
+    middle = {(whole["n"] - 1) // 2, whole["n"] // 2}
+    return sum(map(nth, middle)) / len(middle)
+
+
 def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Operation and analysis counts, cache-hit rate, model latency and compression.
 
     ``ops`` has operation, duration_seconds, compression_ratio and cache_hit.
     """
-    if not scope:
-        # One group for all rows, by a value the optimizer does not fold to a literal:
-        # the joins below then keep an equal key.
-        one = F.pmod(F.hash("operation"), F.lit(1))
-        return telemetry_rollup(ops.withColumn("__all", one), ("__all",)).drop("__all")
     analysis = F.col("operation").isin(*P.ANALYSIS_OPERATIONS)
     model = F.col("operation") == P.MODEL_OPERATION
     hits = F.count_if(analysis & F.col("cache_hit"))
@@ -70,6 +103,9 @@ def telemetry_rollup(ops: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         F.avg(F.when(analysis, F.col("compression_ratio"))).alias("mean_compression_ratio"),
     )
     seconds = F.coalesce("duration_seconds", F.lit(0.0))
+    if not scope:
+        overall = F.lit(overall_median(ops.where(model), seconds)).cast("double")
+        return rollup.withColumn("median_model_seconds", overall)
     median = exact_median(ops.where(model), scope, seconds, "median_model_seconds")
     return null_safe_join(rollup, median, scope, "left")
 

@@ -89,13 +89,37 @@ def validate_refs(analyses: DataFrame, clusters: DataFrame, scope: Sequence[str]
     )
 
 
+def term_pieces(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Every run of ``GRAM`` characters of every term: ``gram`` and ``term``."""
+    starts = F.sequence(F.lit(1), F.length("term") - (GRAM - 1))
+    cut = F.transform(starts, lambda i: F.substring(F.col("term"), i, F.lit(GRAM)))
+    return terms.where(F.length("term") >= GRAM).select(
+        *scope, "term", F.explode_outer(F.array_distinct(cut)).alias("gram")
+    )
+
+
+def word_probes(words: DataFrame, pieces: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Distinct words with their ``gram`` that the fewest terms hold, and ``n_terms`` of it.
+
+    A word with a run that no term holds occurs in none and is left out.
+    """
+    held = pieces.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("n_terms"))
+    starts = F.sequence(F.lit(1), F.length("word") - (GRAM - 1))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(GRAM))))
+    grams = words.select(*scope, "word").distinct().select(*scope, "word", F.size(cut).alias("n"), F.explode(cut).alias("gram"))
+    found = null_safe_join(grams, held, [*scope, "gram"]).groupBy(*scope, "word", "n").agg(
+        F.count(F.lit(1)).alias("found"), F.min(F.struct("n_terms", "gram")).alias("rarest")
+    )
+    return found.where(F.col("found") == F.col("n")).select(*scope, "word", "rarest.*")
+
+
 def check_components(analyses: DataFrame, terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Every claimed component with ``supported``.
 
     A component counts if it is a known term, or if one of its words of more than three
-    characters occurs inside a known term.  The substring test runs on an equal join:
-    a word that occurs in a term shares its first four characters with one of the
-    term's four-character pieces, so words never meet terms they cannot be part of.
+    characters occurs inside a known term.  The substring test runs on an equal join over
+    runs of four characters; each word is looked up by the one of its runs that occurs in
+    the fewest terms, so beginnings that all terms share pair nothing.
     """
     parts = analyses.select(
         "analysis_id", *scope, F.posexplode("affected_components").alias("component_no", "component")
@@ -106,22 +130,15 @@ def check_components(analyses: DataFrame, terms: DataFrame, scope: Sequence[str]
         "left_semi",
     )
     split = F.split(F.replace("lowered", F.lit("/"), F.lit(" /")), WS + "+")
-    words = (
-        distinct.select(*scope, "lowered", F.explode(split).alias("word"))
-        .where(F.length("word") > 3)
-        .withColumn("gram", F.substring("word", 1, GRAM))
-    )
-    starts = F.sequence(F.lit(1), F.length("term") - (GRAM - 1))
-    pieces = terms.where(F.length("term") >= GRAM).select(
-        *scope,
-        "term",
-        F.explode_outer(
-            F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))
-        ).alias("gram"),
+    words = distinct.select(*scope, "lowered", F.explode(split).alias("word")).where(
+        F.length("word") >= GRAM
     )
-    by_word = null_safe_join(
-        words, pieces, [*scope, "gram"], "left_semi", F.col("term").contains(F.col("word"))
+    pieces = stage(term_pieces(terms, scope), "term-pieces")
+    inside = null_safe_join(
+        word_probes(words, pieces, scope), pieces, [*scope, "gram"], "left_semi",
+        F.col("term").contains(F.col("word")),
     )
+    by_word = null_safe_join(words, inside.select(*scope, "word"), [*scope, "word"], "left_semi")
     supported = (
         exact.select(*scope, "lowered")
         .unionByName(by_word.select(*scope, "lowered"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logdistill.functions.fields import parse_utc
+from logdistill.operators.common import null_safe_join, stage
 from logdistill.operators.enrich import extract_fields
 
 ROW_TYPE = "array<struct<field:string,value:string>>"
@@ -53,6 +56,58 @@ def read_log_rows(
     )
 
 
+@dataclass(frozen=True)
+class ResultFiles:
+    """Events of result files, and one row per file on what it held."""
+
+    events: DataFrame
+    files: DataFrame
+
+
+RESULT_SCHEMA = f"results array<{ROW_TYPE}>, statistics struct<recordsMatched:double>, broken string"
+
+
+def read_result_files(
+    spark: SparkSession, path: str | list[str], log_group: str | None = None, multiline: bool = False
+) -> ResultFiles:
+    """Result documents as a source that tells what it could not read.
+
+    ``files`` has for each file (and its partition columns) ``documents``,
+    ``broken_documents`` that are no such document, ``rows``, ``rejected_rows`` without a
+    readable time, ``matched`` as the documents state it, and ``truncated`` where more rows
+    matched than were returned.  The parsed rows are staged, so that text is read once.
+    """
+    schema = T.StructType.fromDDL(RESULT_SCHEMA)
+    read = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
+    found = read.json(path, multiLine=multiline).withColumn("file", F.input_file_name())
+    parts = [c for c in found.columns if c not in schema.names]
+    whole = F.col("results").isNotNull() & F.col("broken").isNull()
+    documents = stage(
+        found.select(
+            *parts, whole.alias("whole"), F.when(whole, F.col("results")).alias("results"),
+            F.col("statistics.recordsMatched").alias("matched"),
+        ),
+        "result-files",
+    )
+    rows = documents.select(*parts, F.explode("results").alias("row"))
+    events = extract_fields(rows_to_events(rows, log_group=log_group)).drop("json_endpoint", "json_status")
+    readable = events.groupBy(*parts).agg(F.count(F.lit(1)).alias("readable"))
+    told = documents.groupBy(*parts).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(~F.col("whole")).alias("broken_documents"),
+        F.sum(F.coalesce(F.size("results"), F.lit(0))).alias("rows"),
+        F.sum("matched").alias("matched"),
+    )
+    files = null_safe_join(told, readable, parts, "left").fillna(0, ["readable"])
+    files = files.withColumns(
+        {
+            "rejected_rows": F.col("rows") - F.col("readable"),
+            "truncated": F.coalesce(F.col("matched") > F.col("readable"), F.lit(False)) & (F.col("readable") > 0),
+        }
+    ).drop("readable")
+    return ResultFiles(events, files)
+
+
 def from_table(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Any table as events: ``mapping`` gives the source column of each event column.
 

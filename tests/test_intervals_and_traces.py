@@ -12,9 +12,13 @@ from scenarios import SCHEMA, START, event
 
 from logdistill.operators import idfilter as B
 from logdistill.operators import intervals as V
+from logdistill.operators import ops as O
 from logdistill.operators import retrieve as R
+from logdistill.operators import rollups as RU
+from logdistill.operators import validate as VA
 from logdistill.plans import incident as I
 from logdistill.plans import reduce as P
+from logdistill.sources import events as SE
 
 WINDOWS = "window_id string, log_group string, window_start timestamp, window_end timestamp"
 
@@ -105,3 +109,90 @@ def test_messages_without_a_hit_give_no_rows(spark):
     hits = spark.createDataFrame(texts, "message string").withColumn("words", B.bloom_filter(probes, bits).scalar())
     rows = hits.select(F.explode(B.probe_hits(F.col("message"), F.col("words"), bits, [6]))).count()
     assert 1 <= rows <= 30
+
+
+def signature_rows(df):
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+def test_rollup_answers_any_window(spark, tmp_path):
+    """Windows inside an hour, over hours, on bounds and of no length; days written twice count once."""
+    rows = some_events(7, 500) + some_events(7, 40)
+    events = spark.createDataFrame(rows, SCHEMA)
+    path = str(tmp_path / "rollup")
+    wanted = I.wanted_events(events)
+    for _ in range(2):
+        RU.update_rollup(wanted, path)
+    spans = [(0, 120), (3, 119), (10, 20), (55, 65), (60, 60), (60, 120), (-9, 600), (61, 119)]
+    asked = [(f"w{i}{g}", g, minutes(a) + timedelta(seconds=a % 7), minutes(b)) for i, (a, b) in enumerate(spans) for g in ("/app/x", "/app/y")]
+    windows = spark.createDataFrame(asked, WINDOWS)
+    r, timeline = I.report_from_rollup(events, windows, path)
+    full = I.analyze(events, windows)
+    assert signature_rows(r.signatures) == signature_rows(full.reduction.signatures)
+    assert signature_rows(timeline) == signature_rows(full.timeline)
+    assert signature_rows(r.samples) == signature_rows(full.reduction.samples)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+def test_newest_of_slices(spark, limit):
+    """As many rows of each slice as ranking all of them keeps, with many events at one instant."""
+    rows = some_events(9, 250) + [event(minutes(30), f"ERROR x{i} failed", stream=str(i % 3)) for i in range(90)]
+    windows = spark.createDataFrame([("a", "/app/x", minutes(0), minutes(60)), ("b", "/app/x", minutes(30), minutes(31)), ("c", "/app/y", minutes(0), minutes(120))], WINDOWS)
+    matched = I.matching_events(spark.createDataFrame(rows, SCHEMA), windows)
+    kept, facts = R.newest_of_slices(matched, I.WINDOW_SCOPE, limit=limit)
+    ranked = R.slice_capped(matched, I.WINDOW_SCOPE, limit=limit)
+    columns = ["window_id", "ts", "log_stream", "message"]
+    assert sorted(map(tuple, kept.select(*columns).collect())) == sorted(map(tuple, ranked.select(*columns).collect()))
+    told = R.slice_coverage(matched, I.WINDOW_SCOPE, limit=limit)
+    some = ["window_id", "matched", "returned", "slices", "truncated", "covered_from"]
+    assert sorted(map(tuple, facts.select(*some).collect())) == sorted(map(tuple, told.select(*some).collect()))
+
+
+def test_capped_reports_say_from_when_on(spark):
+    events = spark.createDataFrame(some_events(9, 250), SCHEMA)
+    windows = spark.createDataFrame([("a", "/app/x", minutes(0), minutes(60)), ("q", "/app/z", minutes(0), minutes(60))], WINDOWS)
+    report = I.analyze(events, windows, retrieval_limit=5)
+    rows = {r.window_id: r for r in report.overview.collect()}
+    assert rows["a"].truncated and rows["a"].covered_from and rows["a"].query_slices == 12 and rows["a"].events <= 60
+    assert not rows["q"].truncated and rows["q"].query_slices == 1
+    (doc,) = [r.evidence for r in report.evidence().collect()]
+    assert "retrieval stopped at its limit" in doc
+    assert "retrieval stopped" not in I.analyze(events, windows).evidence().first().evidence
+
+
+def test_words_are_looked_up_by_their_rarest_run(spark):
+    """Beginnings that all terms share pair nothing."""
+    terms = spark.createDataFrame([("g", f"/api/v2/{i:05d}/x{i * 31 % 977}") for i in range(3000)] + [(None, "/api/only")], "log_group string, term string")
+    named = [("g", f"/api/v2/{i:05d}") for i in range(0, 3000, 50)] + [("g", "/apx/99x99"), ("g", "api"), (None, "/only"), ("h", "/api/v2")]
+    claims = spark.createDataFrame([(f"a{i}", g, [c]) for i, (g, c) in enumerate(named)], "analysis_id string, log_group string, affected_components array<string>")
+    got = {(r.log_group, r.component): r.supported for r in VA.check_components(claims, terms, ("log_group",)).collect()}
+    assert got == {(g, c): (g == "g" and c.startswith("/api/v2/")) or g is None for g, c in named}
+    words = spark.createDataFrame(named, "log_group string, word string").where("length(word) > 3")
+    probes = VA.word_probes(words, VA.term_pieces(terms, ("log_group",)), ("log_group",))
+    assert probes.agg(F.sum("n_terms")).first()[0] < 60 * 40
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000, 5001])
+def test_overall_median(spark, n):
+    import statistics
+
+    draw = random.Random(n)
+    values = [draw.choice((1.5, 1.5, draw.random() * 1e9, -draw.random())) for _ in range(n)]
+    frame = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "v double")
+    got = O.overall_median(frame.repartition(3), F.col("v"))
+    assert got == (statistics.median(values) if values else None)
+
+
+def test_result_files_tell_what_they_could_not_read(spark, tmp_path):
+    row = '[{"field":"@timestamp","value":"%s"},{"field":"@message","value":"%s"}]'
+    lines = [
+        '{"results":[%s,%s],"statistics":{"recordsMatched":9}}' % (row % ("2025-02-17 05:00:00.000", "ERROR a"), row % ("soon", "b")),
+        '{"results":[' , "no json", '{"other":1}', '{"results":[]}',
+    ]
+    (tmp_path / "one.json").write_text("\n".join(lines))
+    (tmp_path / "two.json").write_text('{"results":[%s]}' % (row % ("2025-02-17 06:00:00.000", "ok")))
+    source = SE.read_result_files(spark, str(tmp_path), "/g")
+    assert sorted(r.message for r in source.events.collect()) == ["ERROR a", "ok"]
+    one, two = source.files.orderBy("file").collect()
+    assert (one.documents, one.broken_documents, one.rows, one.rejected_rows, one.truncated) == (5, 3, 2, 1, True)
+    assert (two.documents, two.broken_documents, two.rows, two.rejected_rows, two.truncated) == (1, 0, 1, 0, False)
