@@ -41,7 +41,7 @@ ORACLES: dict[str, str] = {}
 
 ALL_PII = Config(redact_phones=True, redact_ips=True)
 GROUP = ("log_group",)
-END = "TIMESTAMP '2024-01-31 00:00:00'"
+END = V.LAST
 
 
 def query(name: str, oracle: str | None = None):
@@ -66,8 +66,8 @@ def scaled(column: str, factor: int = 10_000) -> Column:
     return F.round(F.col(column) * factor).cast("bigint")
 
 
-def end_of_data() -> Column:
-    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+def end_of_data(spark: SparkSession, sf_dir: str) -> Column:
+    return F.lit(V.end_of_data(spark, sf_dir))
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduced(spark: SparkSession, sf_dir: str, keep_events: bool = False):
     """The error events of every log group, reduced up to the end of the month."""
     return reduce_events(
-        errors(spark, sf_dir), GROUP, end_of_data(), Config(), keep_events=keep_events
+        errors(spark, sf_dir), GROUP, end_of_data(spark, sf_dir), Config(), keep_events=keep_events
     )
 
 
@@ -635,7 +635,7 @@ def a9_reduction_stats(spark, sf_dir):
     events = logs.where(
         message.contains("ERROR") | message.contains("error") | (F.trim("message") == "")
     )
-    stats = reduce_events(events, GROUP, end_of_data(), keep_events=False).stats
+    stats = reduce_events(events, GROUP, end_of_data(spark, sf_dir), keep_events=False).stats
     return stats.select(
         "log_group", "events", "events_after_filtering", "logical_events", "clusters",
         F.col("clusters_after_budget").cast("bigint").alias("clusters_after_budget"),
@@ -653,7 +653,7 @@ def a9_reduction_stats(spark, sf_dir):
 )
 def a9_stats_no_budget(spark, sf_dir):
     cfg = I.without_budget(Config(evidence_clusters=3))
-    stats = reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), cfg, keep_events=False).stats
+    stats = reduce_events(errors(spark, sf_dir), GROUP, end_of_data(spark, sf_dir), cfg, keep_events=False).stats
     return stats.select(
         "log_group", "clusters", F.col("clusters_after_budget").cast("bigint").alias("clusters_after_budget"),
         "clusters_in_evidence", "events_in_evidence", "truncated",
@@ -761,7 +761,7 @@ def a12_eval_summary(spark, sf_dir):
       CAST(round(score * 10000) AS BIGINT) AS score_e4 FROM ranked WHERE rank <= 50""",
 )
 def k3_rank_clusters(spark, sf_dir):
-    return _ranks(reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), keep_events=False))
+    return _ranks(reduce_events(errors(spark, sf_dir), GROUP, end_of_data(spark, sf_dir), keep_events=False))
 
 
 @query(
@@ -772,7 +772,7 @@ def k3_rank_clusters(spark, sf_dir):
 def k3_rank_all(spark, sf_dir):
     """Every cluster has its rank when there is no budget."""
     cfg = I.without_budget()
-    return _ranks(reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), cfg, keep_events=False))
+    return _ranks(reduce_events(errors(spark, sf_dir), GROUP, end_of_data(spark, sf_dir), cfg, keep_events=False))
 
 
 def _ranks(r) -> DataFrame:
@@ -789,7 +789,7 @@ def _ranks(r) -> DataFrame:
 )
 def k4_budget_clusters(spark, sf_dir):
     r = reduce_events(
-        errors(spark, sf_dir), GROUP, end_of_data(), Config(max_clusters=5), keep_events=False
+        errors(spark, sf_dir), GROUP, end_of_data(spark, sf_dir), Config(max_clusters=5), keep_events=False
     )
     return r.clusters.select(
         "log_group", F.col("rank").cast("bigint").alias("rank"), "cluster_id",
@@ -827,7 +827,7 @@ pick AS (
       epoch_us(ts) AS ts_us, log_stream, substr(message, 1, 800) AS message FROM pick""",
 )
 def w1_sample_clusters(spark, sf_dir):
-    r = reduce_events(errors(spark, sf_dir), GROUP, end_of_data(), Config(max_examples=5))
+    r = reduce_events(errors(spark, sf_dir), GROUP, end_of_data(spark, sf_dir), Config(max_examples=5))
     return r.samples.select(
         "log_group", "cluster_id", *C.CLUSTER_KEY,
         F.col("example_no").cast("bigint").alias("example_no"), us("ts").alias("ts_us"),
@@ -1036,8 +1036,9 @@ def w2_slice_capped(spark, sf_dir):
 )
 def u1_union_slices(spark, sf_dir):
     logs = V.logs(spark, sf_dir)
-    bounds = ["2024-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2024-02-01"]
-    slices = [FL.time_window(logs, a, b) for a, b in zip(bounds, bounds[1:])]
+    ends = logs.agg(F.min("ts"), F.max("ts") + F.expr("INTERVAL 1 SECOND")).first()
+    bounds = [ends[0] + (ends[1] - ends[0]) * i / 4 for i in range(5)]
+    slices = [FL.time_window(logs, F.lit(a), F.lit(b)) for a, b in zip(bounds, bounds[1:])]
     joined = R.union_slices(slices)
     return joined.groupBy("log_group").agg(
         F.count(F.lit(1)).alias("n"), us(F.min("ts")).alias("first_us")
@@ -1453,6 +1454,41 @@ def e2_exact(spark, sf_dir):
     return _comparison_counts(spark, sf_dir, I.without_budget(Config(evidence_chars=10_000_000)))
 
 
+_NEW_ENDPOINTS_SQL = ORACLES["u3_new_endpoints"].replace(
+    "SELECT n.log_group, n.exception_type, n.template, n.endpoint FROM en n",
+    "SELECT n.log_group, n.exception_type, substr(n.template, 1, 200) AS template, n.endpoint FROM en n",
+)
+_DELTA_TYPE = "array<struct<exception_type:string,template:string,new_endpoints:array<string>>>"
+
+
+@query("e2_new_endpoints", _NEW_ENDPOINTS_SQL)
+def e2_new_endpoints(spark, sf_dir):
+    """New endpoints as the comparison documents list them."""
+    doc = F.from_json(
+        "evidence", f"deltas struct<new_clusters:{_DELTA_TYPE},disappeared_clusters:{_DELTA_TYPE},changed_clusters:{_DELTA_TYPE}>"
+    )
+    found = compared(spark, sf_dir, Config(evidence_chars=10_000_000), V.BACKWARD_SQL).evidence()
+    listed = F.concat(*[F.col(f"d.deltas.{c}") for c in ("new_clusters", "disappeared_clusters", "changed_clusters")])
+    rows = found.select("log_group", doc.alias("d")).select("log_group", F.inline(listed))
+    return rows.select("log_group", "exception_type", "template", F.explode("new_endpoints").alias("endpoint"))
+
+
+@query(
+    "e2_statuses",
+    _compare_sql("WHERE rank <= 50") + """ SELECT k.log_group, k.side, k.cluster_id, CAST(s.status_code AS VARCHAR) AS status, count(*) AS n
+    FROM sev s JOIN kept k ON s.log_group = k.log_group AND s.side = k.side AND s.template = k.template
+      AND s.exception_type IS NOT DISTINCT FROM k.exception_type
+    WHERE NOT s.is_blank AND s.status_code IS NOT NULL AND k.rank <= 10 GROUP BY ALL""",
+)
+def e2_statuses(spark, sf_dir):
+    """Status codes of both windows' clusters as the comparison documents list them."""
+    side = "struct<clusters:array<struct<cluster_id:string,status_codes:map<string,bigint>>>>"
+    doc = F.from_json("evidence", f"baseline {side}, comparison {side}")
+    found = compared(spark, sf_dir, Config(evidence_chars=10_000_000)).evidence().select("log_group", doc.alias("d"))
+    both = [found.select("log_group", F.lit(s).alias("side"), F.inline(f"d.{s}.clusters")) for s in ("baseline", "comparison")]
+    return R.union_slices(both).select("log_group", "side", "cluster_id", F.explode("status_codes").alias("status", "n"))
+
+
 def _comparison_counts(spark, sf_dir, cfg: Config) -> DataFrame:
     doc = F.from_json(
         "evidence",
@@ -1612,6 +1648,37 @@ def e4_validate_analyses(spark, sf_dir):
     )
 
 
+@query(
+    "e4_validation_warnings",
+    _CLAIMS_SQL + """ SELECT analysis_id, 'unknown cluster reference' AS kind, 'ghost' || rank || ' in: seen in ' || cluster_id AS detail,
+      'degraded' AS status FROM k50 WHERE rank % 3 = 1
+    UNION ALL SELECT analysis_id, 'unverified root cause', 'guess ' || rank, 'degraded' FROM k50 WHERE rank % 3 = 1
+    UNION ALL SELECT analysis_id, 'unsupported component', 'qqzzxx' || rank, 'degraded' FROM k50 WHERE rank % 3 = 2
+    UNION ALL SELECT analysis_id, NULL, NULL, 'ok' FROM k50 WHERE rank % 3 = 0""",
+)
+def e4_validation_warnings(spark, sf_dir):
+    """Analyses that are sound, refer to unknown clusters, or name unknown components; and why."""
+    r = reduced(spark, sf_dir, keep_events=True)
+    kind, number = F.col("rank") % 3, F.col("rank").cast("string")
+
+    def cause(name: Column, statement: Column, cluster: Column) -> Column:
+        evidence = F.struct(statement.alias("statement"), F.array(cluster).alias("cluster_ids"))
+        return F.struct(name.alias("cause"), F.lit(0.5).alias("confidence"), F.array(evidence).alias("evidence"))
+
+    seen = F.concat(F.lit("seen in "), "cluster_id")
+    sound = cause(F.lit("cause"), seen, F.col("cluster_id"))
+    guess = cause(F.concat(F.lit("guess "), number), seen, F.concat(F.lit("ghost"), number))
+    claims = r.clusters.select(
+        F.concat("log_group", F.lit("#"), number).alias("analysis_id"), "log_group",
+        F.when(kind == 1, F.array(sound, guess)).otherwise(F.array(sound)).cast(VA.ROOT_CAUSES).alias("root_causes"),
+        F.when(kind == 2, F.array("log_group", F.concat(F.lit("qqzzxx"), number))).otherwise(F.array("log_group"))
+        .alias("affected_components"),
+    )
+    cleaned, warnings = VA.validate_analyses(claims, r.clusters, terms_of(r), GROUP)
+    told = warnings.select("analysis_id", "kind", "detail")
+    return cleaned.select("analysis_id", "status").join(told, "analysis_id", "left")
+
+
 @query(
     "e8_score_analyses",
     WITH_CLUSTERS + """ SELECT log_group || '#' || CAST(rank AS VARCHAR) AS analysis_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,17 +79,20 @@ HALF_DAYS_SQL = DAYS_SQL.replace("date_trunc('day', ts) AS day FROM logs", "half
 SHIFTED_SQL = DAYS_SQL.replace("day AS window_start", "day + INTERVAL 1050 SECONDS AS window_start").replace(
     "day + INTERVAL 1 DAY AS window_end", "day + INTERVAL 106890 SECONDS AS window_end"
 )
+# Bounds come from the data: its first and last day, and a day two weeks after the first.
+FIRST = "(SELECT date_trunc('day', min(ts)) FROM logs)"
+LAST = "(SELECT date_trunc('day', max(ts)) + INTERVAL 1 DAY FROM logs)"
+MIDDLE = "(SELECT date_trunc('day', min(ts)) + INTERVAL 14 DAY FROM logs)"
 SIDES_SQL = f"""
 SELECT log_group || '#' || side AS window_id, log_group, side,
-       CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-15 00:00:00' END AS window_start,
-       CASE side WHEN 'baseline' THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS window_end
+       CASE side WHEN 'baseline' THEN {FIRST} ELSE {MIDDLE} END AS window_start,
+       CASE side WHEN 'baseline' THEN {MIDDLE} ELSE {LAST} END AS window_end
 FROM ({_SIDE_ROWS}) g
 """
 # The same two halves with the later one as the baseline.
 BACKWARD_SQL = SIDES_SQL.replace("CASE side WHEN 'baseline'", "CASE side WHEN 'comparison'")
 WHOLE_SQL = f"""
-SELECT log_group || '#all' AS window_id, log_group,
-       TIMESTAMP '2024-01-01 00:00:00' AS window_start, TIMESTAMP '2024-01-31 00:00:00' AS window_end
+SELECT log_group || '#all' AS window_id, log_group, {FIRST} AS window_start, {LAST} AS window_end
 FROM ({_GROUP_ROWS}) g
 """
 
@@ -115,6 +120,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STAGED[key]
 
 
+def end_of_data(spark: SparkSession, sf_dir: str) -> datetime:
+    """The midnight after the last event."""
+    return spark.sql(f"SELECT {LAST}".replace("FROM logs", "FROM {logs}"), logs=logs(spark, sf_dir)).first()[0]
+
+
 def windows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A windows table; the day windows come from the days the log view covers."""
     if "FROM logs" in sql:

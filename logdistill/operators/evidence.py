@@ -203,17 +203,30 @@ def build_evidence(
 
 
 def build_comparison_evidence(
-    profiles: DataFrame, deltas: DataFrame, scope: Sequence[str], cfg: Config = DEFAULTS
+    profiles: DataFrame,
+    deltas: DataFrame,
+    endpoints: DataFrame,
+    statuses: DataFrame,
+    new_endpoints: DataFrame,
+    scope: Sequence[str],
+    cfg: Config = DEFAULTS,
 ) -> DataFrame:
     """Both windows' profiles and their deltas as one JSON document per scope, cut to size.
 
-    ``profiles`` has up to ten clusters for each ``side``.  Deltas are gathered in
-    ranking order only as far as the budget reaches.
+    ``profiles`` has up to ten clusters for each ``side``, each shown with its endpoints and
+    status codes; deltas are shown with the endpoints that only the comparison window hits.
+    Deltas, endpoints and codes are gathered in order only as far as the budget reaches.
     """
+    sided, budget = [*scope, "side", *CLUSTER_KEY], cfg.evidence_chars
+    shown = profiles.where(F.col("rank").isNotNull()).select(*scope, "side", *CLUSTER_KEY)
+    for table, name, into in ((endpoints, "endpoint", "affected_endpoints"), (statuses, "status", "status_codes")):
+        mine = null_safe_join(table, shown, sided, "left_semi")
+        profiles = null_safe_join(profiles, _histogram(mine, sided, name, budget, into), sided, "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     item = F.struct(
         "rank", "cluster_id", "exception_type", "template", "event_count",
         iso(F.col("first_seen")).alias("first_seen"), iso(F.col("last_seen")).alias("last_seen"),
-        "score",
+        "score", *[F.coalesce(c, none).alias(c) for c in ("affected_endpoints", "status_codes")],
     )
 
     def side(name: str) -> Column:
@@ -221,15 +234,22 @@ def build_comparison_evidence(
         return F.struct(
             F.max(F.when(here, F.col("total_events"))).alias("total_events"),
             F.array_sort(
-                F.collect_list(F.when(here & F.col("rank").isNotNull(), item))
+                F.collect_list(F.when(here & F.col("rank").isNotNull(), item)),
+                lambda a, b: (a["rank"] - b["rank"]).cast("int"),
             ).alias("clusters"),
         ).alias(name)
 
     windows = profiles.groupBy(*scope).agg(side("baseline"), side("comparison"))
     place = F.coalesce("comparison_rank", "baseline_rank")
     group = F.when(F.col("change") == "new", 0).when(F.col("change") == "disappeared", 1).otherwise(2)
-    ordered = deltas.withColumns({"__group": group, "__place": place}).withColumn(
-        "template", F.substring("template", 1, 200)
+    key = [*scope, *CLUSTER_KEY]
+    fresh = _bounded(new_endpoints, key, [F.col("endpoint")], F.length("endpoint") + 3, budget)
+    fresh = fresh.groupBy(*key).agg(F.array_sort(F.collect_list("endpoint")).alias("new_endpoints"))
+    ordered = null_safe_join(deltas, fresh, key, "left").withColumns(
+        {
+            "__group": group, "__place": place, "template": F.substring("template", 1, 200),
+            "new_endpoints": F.coalesce("new_endpoints", F.array().cast("array<string>")),
+        }
     )
     bounded = _bounded(
         ordered, scope, [F.col("__group"), F.col("__place"), F.col("cluster_id")],
@@ -237,7 +257,7 @@ def build_comparison_evidence(
     )
     entry = F.struct(
         "__group", "__place", "cluster_id", "exception_type", "template", "baseline_count",
-        "comparison_count", "change", "ratio",
+        "comparison_count", "change", "ratio", "new_endpoints",
     )
     listed = bounded.groupBy(*scope).agg(F.array_sort(F.collect_list(entry)).alias("__deltas"))
 

@@ -246,7 +246,11 @@ class Comparison:
     rejected: DataFrame
 
     def evidence(self) -> DataFrame:
-        return build_comparison_evidence(self.profiles, self.deltas, self.scope, self.cfg)
+        bounds = ("window_start", "window_end")
+        return build_comparison_evidence(
+            self.profiles, self.deltas, self.reduction.endpoints.drop(*bounds),
+            self.reduction.statuses.drop(*bounds), self.new_endpoints, self.scope, self.cfg,
+        )
 
 
 def compare_windows(
