@@ -1098,6 +1098,24 @@ def w3_assemble_events(spark, sf_dir):
     return events.select("file", "event_no", "message", us("ts").alias("ts_us"))
 
 
+@query(
+    "w3_assemble_parts",
+    LOGS + ", " + _LINES_SQL + """
+    , e AS (SELECT file, CAST(event_no AS BIGINT) AS event_no, string_agg(l, chr(10) ORDER BY event_id, part) AS message, max(length(l)) AS widest
+      FROM ev GROUP BY file, event_no)
+    SELECT file, event_no, CAST(length(message) AS BIGINT) AS chars, md5(message) AS digest, substr(message, 1, 120) AS head, true AS bounded FROM e""",
+)
+def w3_assemble_parts(spark, sf_dir):
+    """Events in parts of a hundred characters: whole when folded, and no part longer than that and a line."""
+    lines = stage(message_lines(spark, sf_dir), "lines")
+    parts = stage(RL.assemble_parts(lines, part_chars=100), "parts")
+    longest = lines.agg(F.max(F.length("line"))).first()[0]
+    size = parts.groupBy("file", "event_no").agg((F.max(F.length("text")) <= 101 + longest).alias("bounded"))
+    whole = RL.fold_parts(parts).select("file", "event_no", "chars", F.md5("message").alias("digest"))
+    heads = RL.fold_parts(parts, max_chars=120).select("file", "event_no", F.col("message").alias("head"))
+    return whole.join(heads, ["file", "event_no"]).join(size, ["file", "event_no"])
+
+
 _FILE_SQL = _LINES_SQL.replace(
     "SELECT log_group AS file", "SELECT log_group || '#' || strftime(ts, '%Y-%m-%d') AS file"
 )

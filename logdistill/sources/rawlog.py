@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from logdistill.functions import patterns as P
 from logdistill.functions.text import first_match, not_blank
-from logdistill.operators.common import null_safe_join
+from logdistill.operators.common import null_safe_join, stage
 
 # Line ends besides those the text source already splits at.
 _OTHER_BREAKS = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+# Characters of an event that one row holds.
+PART_CHARS = 1 << 20
+
 
 def line_time(line: Column) -> Column:
     """The UTC time near the start of a line, ISO or bracketed, else null."""
@@ -42,13 +45,17 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ).where(not_blank(F.col("line")))
 
 
-def assemble_events(lines: DataFrame) -> DataFrame:
-    """Lines to events: a continuation line joins the event before it.
+def assemble_parts(lines: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Lines to events in numbered parts: a continuation line joins the event before it.
 
     A line starts an event if it has a time, or if it neither looks like a continuation
-    nor lacks a level word, or if it is the first of its file.  Events are numbered
-    block by block; only per-block counts and the few lines continuing an event of the
-    previous block travel between blocks, so one huge file is not one task's work.
+    nor lacks a level word, or if it is the first of its file.  Lines of an event are
+    joined up to ``part_chars`` characters a part (or one line, if that is longer), so no
+    row and no task holds a whole event, however long it is.
+
+    Events and parts are numbered on two levels: within blocks by running sums, and
+    between blocks by sums of one row per block, or per block and event.  Parts have
+    ``file``, ``event_no``, ``part_no`` from 0, ``text``, and ``ts`` on the first part.
     """
     line = F.col("line")
     ts = line_time(line)
@@ -60,16 +67,23 @@ def assemble_events(lines: DataFrame) -> DataFrame:
     local = F.sum(F.col("starts").cast("bigint")).over(
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
+    earlier = (
+        Window.partitionBy("file", "block", "local").orderBy("row", "part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    chars = F.coalesce(F.sum(F.length("line") + 1).over(earlier), F.lit(0))
     entry = F.struct("row", "part", "line")
-    pieces = (
+    pieces = stage(
         marked.withColumn("local", local)
-        .groupBy("file", "block", "local")
+        .withColumn("piece", F.floor(chars / part_chars))
+        .groupBy("file", "block", "local", "piece")
         .agg(
             F.min("ts").alias("ts"),
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]), "\n"
             ).alias("text"),
-        )
+        ),
+        "event-parts",
     )
     # Block level from here on.  The first block of a file that opens with a
     # continuation line gets one event more: its first line starts one regardless.
@@ -87,39 +101,55 @@ def assemble_events(lines: DataFrame) -> DataFrame:
         "forced",
         F.coalesce(F.sum(F.col("events") + F.col("forced")).over(before), F.lit(0)).alias("offset"),
     )
-    numbered = null_safe_join(pieces, blocks, ["file", "block"]).withColumn(
-        "event_no", F.col("offset") + F.col("local") + F.col("forced")
-    )
-    opens = (F.col("local") > 0) | (F.col("forced") == 1)
-    tails = (
-        numbered.where(~opens)
-        .groupBy("file", "event_no")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda e: e["text"]),
-                "\n",
-            ).alias("tail")
-        )
+    event_no = (F.col("offset") + F.col("local") + F.col("forced")).alias("event_no")
+    numbered = null_safe_join(pieces, blocks, ["file", "block"]).select(*pieces.columns, event_no)
+    by_event = Window.partitionBy("file", "event_no").orderBy("block")
+    held = numbered.groupBy("file", "event_no", "block").agg((F.max("piece") + 1).alias("pieces"))
+    done = F.sum("pieces").over(by_event.rowsBetween(Window.unboundedPreceding, -1))
+    skipped = held.select("file", "event_no", "block", F.coalesce(done, F.lit(0)).alias("skipped"))
+    return null_safe_join(numbered, skipped, ["file", "event_no", "block"]).select(
+        "file", "event_no", (F.col("skipped") + F.col("piece")).alias("part_no"), "ts", "text"
     )
-    whole = null_safe_join(
-        numbered.where(opens).select("file", "event_no", "ts", "text"), tails,
-        ["file", "event_no"], "left",
+
+
+def fold_parts(parts: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Events as one row each: ``message``, its length ``chars``, and ``parts``.
+
+    With ``max_chars`` only the parts that reach so far are gathered, and the message is
+    cut there; without it a message has to fit a row.
+    """
+    key = ["file", "event_no"]
+    size = parts.groupBy(*key).agg(
+        F.sum(F.length("text") + 1).alias("chars"), F.count(F.lit(1)).alias("parts"), F.min("ts").alias("ts")
+    ).withColumn("chars", F.col("chars") - 1)
+    wanted = parts
+    if max_chars is not None:
+        w = Window.partitionBy(*key).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
+        wanted = parts.withColumn("ahead", ahead).where(F.col("ahead") < max_chars)
+    joined = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("part_no", "text"))), lambda e: e["text"]), "\n"
     )
+    message = joined if max_chars is None else F.substring(joined, 1, max_chars)
+    return null_safe_join(wanted.groupBy(*key).agg(message.alias("message")), size, key)
+
+
+def assemble_events(lines: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Lines to events with their whole message, or its first ``max_chars`` characters.
+
+    Events without a time get one that follows their number.
+    """
+    whole = fold_parts(assemble_parts(lines), max_chars)
     synthetic = F.timestamp_micros(
         F.unix_micros(F.lit(P.RAW_EPOCH + "Z").cast("timestamp"))
         + (F.col("event_no") - 1) * 1_000_000
     )
-    return whole.select(
-        "file",
-        "event_no",
-        F.coalesce("ts", synthetic).alias("ts"),
-        F.concat_ws("\n", "text", "tail").alias("message"),
-    )
+    return whole.select("file", "event_no", F.coalesce("ts", synthetic).alias("ts"), "message")
 
 
-def read_raw_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_raw_logs(spark: SparkSession, path: str | list[str], max_chars: int | None = None) -> DataFrame:
     """Text files to events; the file is the log group, a file has no streams."""
-    events = assemble_events(read_lines(spark, path))
+    events = assemble_events(read_lines(spark, path), max_chars)
     return events.select(
         F.col("file").alias("log_group"), F.lit(None).cast("string").alias("log_stream"), "ts",
         "message", "event_no",

@@ -19,6 +19,7 @@ from logdistill.operators import validate as VA
 from logdistill.plans import incident as I
 from logdistill.plans import reduce as P
 from logdistill.sources import events as SE
+from logdistill.sources import rawlog as RL
 
 WINDOWS = "window_id string, log_group string, window_start timestamp, window_end timestamp"
 
@@ -196,3 +197,18 @@ def test_result_files_tell_what_they_could_not_read(spark, tmp_path):
     one, two = source.files.orderBy("file").collect()
     assert (one.documents, one.broken_documents, one.rows, one.rejected_rows, one.truncated) == (5, 3, 2, 1, True)
     assert (two.documents, two.broken_documents, two.rows, two.rejected_rows, two.truncated) == (1, 0, 1, 0, False)
+
+
+def test_an_event_over_many_blocks_comes_in_parts(spark):
+    """One event of 3,000 lines over five blocks, between two short ones."""
+    lines = ["2025-02-17 05:00:00 ERROR first"] + ["2025-02-17 05:00:01 ERROR long"] + [f"  at frame {i}" for i in range(3000)] + ["2025-02-17 05:00:02 ERROR last"]
+    rows = [("f", i // 700, i, 0, line) for i, line in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "file string, block long, row long, part int, line string").repartition(4)
+    parts = RL.assemble_parts(frame, part_chars=500).collect()
+    own = sorted((p.part_no, p.text) for p in parts if p.event_no == 2)
+    assert [n for n, _ in own] == list(range(len(own))) and len(own) > 60
+    assert "\n".join(t for _, t in own) == "\n".join(lines[1:-1]) and max(len(t) for _, t in own) < 530
+    whole = {r.event_no: r.message for r in RL.assemble_events(frame).collect()}
+    assert whole == {1: lines[0], 2: "\n".join(lines[1:-1]), 3: lines[-1]}
+    heads = {r.event_no: (r.message, r.chars) for r in RL.fold_parts(RL.assemble_parts(frame, 500), 1200).collect()}
+    assert heads[2] == (whole[2][:1200], len(whole[2])) and heads[3][0] == lines[-1]
