@@ -20,6 +20,7 @@ from logdistill.plans import incident as I
 from logdistill.plans import reduce as P
 from logdistill.sources import events as SE
 from logdistill.sources import rawlog as RL
+from logdistill.streaming import live
 
 WINDOWS = "window_id string, log_group string, window_start timestamp, window_end timestamp"
 
@@ -212,3 +213,24 @@ def test_an_event_over_many_blocks_comes_in_parts(spark):
     assert whole == {1: lines[0], 2: "\n".join(lines[1:-1]), 3: lines[-1]}
     heads = {r.event_no: (r.message, r.chars) for r in RL.fold_parts(RL.assemble_parts(frame, 500), 1200).collect()}
     assert heads[2] == (whole[2][:1200], len(whole[2])) and heads[3][0] == lines[-1]
+
+
+def test_clusters_of_a_stream_equal_those_of_the_batch_job(spark, tmp_path):
+    """Events in three deliveries, some twice; bins come when the watermark has passed them."""
+    rows = some_events(11, 200)
+    first = sorted(rows, key=lambda r: r[2])
+    deliveries = [first[:80] + first[:20], first[80:] + first[70:90], [event(minutes(400), "ERROR end Odd9Error: end")], [event(minutes(401), "ERROR end Odd9Error: end")]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    found = []
+    writer = live.stream_clusters(stream, ("log_group",), lambda c, n: found.extend(map(tuple, c.select(*columns).collect())), 60)
+    columns = ["log_group", "window_start", "template", "event_count", "cluster_id", "level", "score", "rank"]
+    for part in deliveries:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = writer.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    events = R.dedupe_events(spark.createDataFrame(rows, SCHEMA), ("log_group",))
+    bins = F.window("ts", "60 minutes")
+    framed = events.withColumns({"window_start": bins["start"], "window_end": bins["end"]})
+    batch = P.reduce_events(framed, ("log_group", "window_start", "window_end"), F.col("window_end"), keep_events=False)
+    assert sorted(found) == sorted(map(tuple, batch.clusters.select(*columns).collect())) and len(found) > 10
