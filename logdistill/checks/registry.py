@@ -1337,7 +1337,9 @@ _SLICED_SQL = WITH_ENRICHED + f""", w AS ({V.DAYS_SQL}),
 
 @query(
     "e5_sliced",
-    _SLICED_SQL + """ SELECT window_id, events, logical_events, query_slices, truncated, epoch_us(covered_from) AS covered_us FROM o""",
+    _SLICED_SQL + """ SELECT w.window_id, coalesce(events, 0) AS events, coalesce(logical_events, 0) AS logical_events,
+      coalesce(query_slices, 1) AS query_slices, coalesce(truncated, false) AS truncated, epoch_us(covered_from) AS covered_us
+    FROM w LEFT JOIN o ON w.window_id = o.window_id""",
 )
 def e5_sliced(spark, sf_dir):
     """Reports over the newest ten events of each slice tell from when on they looked."""
