@@ -3,10 +3,14 @@
 Both sides keep, of every ``W`` consecutive k-gram hashes, the smallest (all positions on
 ties).  A span of ``WINDOW = K + W - 1`` shared words therefore always shares a
 fingerprint at the same place, so an equal join on fingerprints loses none.  Each hit is
-extended word by word along its diagonal, and only windows that agree in every word
-count.  Items shorter than a window are compared whole: their hash is joined with the
+extended to the windows around it, and only windows that agree with one of an item in all
+words count.  Items shorter than a window are compared whole: their hash is joined with the
 hashes of all document word runs of the same length, then verified the same way.
 
+Joins carry hashes and places, never words, and every window of a document is looked up
+once whatever the number of equal places on the other side, so texts of one repeated word
+cost no more than their length.  Windows are compared by 128-bit digests of their words.
+
 Cases: null and empty texts have no words and neither hit nor are hit; items with a null
 id count as an item named by the empty string; repeated items count once by id; repeated
 documents each get their row; columns of the
@@ -25,6 +29,8 @@ from logdistill.llm.common import count_words, grams, small_side, stage, text_ke
 K = 5
 W = 6
 WINDOW = K + W - 1
+# Measured bytes of fingerprint hits up to which they are broadcast to the texts.
+HIT_BYTES = 64 << 20
 
 
 def _minima(hashes: Column, w: int = W) -> Column:
@@ -55,7 +61,7 @@ def _chosen(hashes: Column, lows: Column, w: int = W) -> Column:
 
 
 def fingerprints(df: DataFrame, carry: list[str]) -> DataFrame:
-    """Rows (carry..., words, at, print): the winnowed fingerprints of ``words``.
+    """Rows (carry..., at, print): the winnowed fingerprints of ``words``, without the words.
 
     Outer explode, here and below: for a plain one the optimizer adds a test of the array
     below the projections, which evaluates their nested expressions once more per use.
@@ -63,9 +69,10 @@ def fingerprints(df: DataFrame, carry: list[str]) -> DataFrame:
     hashed = df.withColumn("__h", grams(F.col("words"), K))
     lows = hashed.withColumn("__m", _minima(F.col("__h")))
     chosen = lows.withColumn("__p", _chosen(F.col("__h"), F.col("__m")))
-    return chosen.select(
-        *carry, "words", F.col("__h"), F.explode_outer("__p").alias("at")
-    ).where(F.col("at").isNotNull()).select(*carry, "words", "at", F.get("__h", F.col("at")).alias("print"))
+    prints = F.transform("__p", lambda p: F.struct(p.alias("at"), F.get("__h", p).alias("print")))
+    return chosen.select(*carry, F.explode_outer(prints).alias("__f")).where(
+        F.col("__f").isNotNull()
+    ).select(*carry, "__f.at", "__f.print")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -75,41 +82,38 @@ def _items(benchmark: DataFrame) -> DataFrame:
     ).where(F.size("words") > 0)
 
 
-def _extended(hits: DataFrame) -> DataFrame:
-    """Windows (doc, text, item, start, n) around each fingerprint hit that agree in all words."""
-    left = F.least(F.lit(W - 1), F.col("at"), F.col("iat"))
-    right = F.least(
-        F.lit(WINDOW), F.size("words") - F.col("at"), F.size("iwords") - F.col("iat")
-    )
-    near = hits.select(
-        "__doc", "__text", "item", (F.col("at") - left).alias("__from"), (left + right).alias("__n"),
-        F.slice("words", F.col("at") - left + 1, left + right).alias("__d"),
-        F.slice("iwords", F.col("iat") - left + 1, left + right).alias("__i"),
-    ).where(F.col("__n") >= WINDOW)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.col("__n") - WINDOW),
-        lambda j: F.slice("__d", j + 1, WINDOW) == F.slice("__i", j + 1, WINDOW),
-    )
-    return near.select(
-        "__doc", "__text", "item", "__from", F.explode_outer(starts).alias("__j")
-    ).where(F.col("__j").isNotNull()).select(
-        "__doc", "__text", "item", (F.col("__from") + F.col("__j")).alias("start"),
-        F.lit(WINDOW).alias("n"),
-    )
+def _window(start: Column, n: Column) -> Column:
+    """A 128-bit name of ``n`` words; words hold no blank, so no two runs read alike."""
+    return F.md5(F.concat_ws(" ", F.slice("words", start + 1, n)))
+
 
+def item_windows(items: DataFrame) -> DataFrame:
+    """Distinct (item, window): all windows of all items."""
+    n = F.least(F.size("words"), F.lit(WINDOW))
+    names = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: _window(i, n))
+    return items.select("item", F.explode_outer(names).alias("window")).distinct()
 
-def _short(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """Places of items of fewer than WINDOW words; null when there are none."""
-    few = items.where(F.size("words") < WINDOW)
-    lengths = [r[0] for r in few.select(F.size("words")).distinct().collect()]
-    if not lengths:
-        return None
-    right = few.select(
-        "item", F.col("words").alias("iwords"), F.size("words").alias("n"),
-        F.xxhash64(F.concat_ws(" ", "words")).alias("print"),
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(__doc, __text, n, places): where a document shares a fingerprint with any item.
+
+    ``n`` is the number of words of the window.  For whole windows the places are those of
+    fingerprints; for items of fewer words they are starts.  Only hashes and places are
+    joined, so neither words nor the number of an item's equal places travel along.
+    """
+    keys = ["__doc", "__text"]
+    prints = stage(fingerprints(items.where(F.size("words") >= WINDOW), []).select("print").distinct(), "item-prints")
+    met = [
+        fingerprints(docs, keys).join(small_side(prints), "print", "left_semi")
+        .select(*keys, F.lit(WINDOW).alias("n"), F.col("at").alias("place"))
+    ]
+    few = stage(
+        items.where(F.size("words") < WINDOW)
+        .select(F.size("words").alias("n"), F.xxhash64(F.concat_ws(" ", "words")).alias("print")).distinct(),
+        "short-items",
     )
 
-    def found(n: int) -> DataFrame:
+    def short_runs(n: int) -> DataFrame:
         runs = F.when(
             F.size("words") >= n,
             F.transform(
@@ -119,33 +123,50 @@ def _short(docs: DataFrame, items: DataFrame) -> DataFrame | None:
         )
         return (
             docs.withColumn("__r", runs)
-            .select("__doc", "__text", "words", F.posexplode_outer("__r").alias("start", "print"))
-            .join(small_side(right.where(F.col("n") == n), limit=100_000), "print")
-            .where(F.slice("words", F.col("start") + 1, n) == F.col("iwords"))
-            .select("__doc", "__text", "item", "start", F.lit(n).alias("n"))
+            .select(*keys, F.posexplode_outer("__r").alias("place", "print"))
+            .join(small_side(few.where(F.col("n") == n).select("print")), "print", "left_semi")
+            .select(*keys, F.lit(n).alias("n"), "place")
         )
 
-    return reduce(DataFrame.unionByName, [found(n) for n in sorted(lengths)])
+    # At most WINDOW - 1 lengths.
+    met += [short_runs(n) for n in sorted(r[0] for r in few.select("n").distinct().collect())]
+    return reduce(DataFrame.unionByName, met).groupBy(*keys, "n").agg(F.collect_set("place").alias("places"))
+
 
+def windows_hit(docs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (__doc, __text, start, n, window): where windows of items occur in documents.
 
-def windows_hit(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Distinct (__doc, __text, item, start, n): where item windows occur in documents."""
+    Hits are extended: every run of ``WINDOW`` words around a shared fingerprint is looked
+    up among the items' windows, each run of a document once.
+    """
     worded = docs.select("__doc", "__text", words_of(F.col("text")).alias("words"))
-    items = stage(_items(benchmark), "items")
-    long_items = items.where(F.size("words") >= WINDOW)
-    right = stage(
-        fingerprints(long_items, ["item"]).select(
-            "item", F.col("words").alias("iwords"), F.col("at").alias("iat"), "print"
-        ),
-        "item-prints",
+    found = stage(candidates(worded, items), "print-hits")
+    # Places are as many as a long text has words, so the bytes are measured, not the rows.
+    size = found.agg(F.sum(F.size("places") * 8 + 120)).first()[0] or 0
+    near = docs.join(F.broadcast(found) if size <= HIT_BYTES else found, ["__doc", "__text"])
+    last = F.size("words") - WINDOW
+    around = F.array_distinct(
+        F.flatten(
+            F.transform(
+                "places",
+                lambda at: F.sequence(F.greatest(at - (W - 1), F.lit(0)), F.greatest(F.least(at, last), F.lit(0))),
+            )
+        )
+    )
+    starts = F.when(F.col("n") == WINDOW, around).otherwise(F.col("places"))
+    runs = (
+        near.select("__doc", "__text", "n", "places", words_of(F.col("text")).alias("words"))
+        .withColumn("__s", starts)
+        .select(
+            "__doc", "__text", "n",
+            F.explode_outer(
+                F.transform("__s", lambda i: F.struct(i.alias("start"), _window(i, F.col("n")).alias("window")))
+            ).alias("__w"),
+        )
+        .select("__doc", "__text", "n", "__w.start", "__w.window")
     )
-    # Items carry their words, so the bound for a broadcast is low.
-    hits = fingerprints(worded, ["__doc", "__text"]).join(small_side(right, limit=100_000), "print")
-    found = _extended(hits)
-    short = _short(worded, items)
-    if short is not None:
-        found = found.unionByName(short)
-    return found.distinct()
+    known = windows.select("window").distinct()
+    return runs.join(small_side(stage(known, "window-names")), "window", "left_semi").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -154,7 +175,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.drop(*own).withColumn(
         "__doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     ).withColumn("__text", text_key(F.col("text")))
-    hit = stage(windows_hit(keyed, benchmark), "windows-hit")
+    items = stage(_items(benchmark), "items")
+    windows = stage(item_windows(items), "item-windows")
+    hit = stage(windows_hit(keyed, windows, items), "windows-hit")
     before = Window.partitionBy("__doc", "__text").orderBy("start", "n").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -165,19 +188,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sum("__fresh").cast("long").alias("n_hit")
     )
     names = (
-        hit.select("__doc", "__text", "item").distinct().groupBy("__doc", "__text").agg(
+        hit.select("__doc", "__text", "window").distinct().join(windows, "window")
+        .select("__doc", "__text", "item").distinct().groupBy("__doc", "__text").agg(
             F.count(F.lit(1)).alias("n_items"),
-            F.array_join(F.array_sort(F.collect_list("item")), ",").alias("__names"),
+            F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("__names"),
         )
     )
-    # One row per contaminated document; where these are few, no text is shuffled.
+    # One row of fixed width per contaminated document; where these are few, no text is shuffled.
     facts = small_side(stage(covered.join(names, ["__doc", "__text"]), "leak-facts"), limit=200_000)
     return (
         keyed.withColumn("n_words", count_words(F.col("text")))
         .join(facts, ["__doc", "__text"], "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
         .withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
-        .withColumn("items_sha256", F.sha2(F.coalesce("__names", F.lit("")), 256))
+        .withColumn("items_sha256", F.coalesce("__names", F.sha2(F.lit(""), 256)))
         .withColumn("contaminated", F.col("n_hit") > 0)
         .drop("__doc", "__text", "__names")
     )
