@@ -1,8 +1,10 @@
 """Language of documents by a conditional random field over their words.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` per language, texts
-of at most ``SAMPLE_CHARS`` characters) outside the held-out fifth, and applied to whole
-texts.  Prediction sees the text only.
+The model is fitted on a bounded sample of labelled rows outside the held-out fifth:
+about ``SAMPLE`` per language, pieces of at most ``SAMPLE_CHARS`` characters,
+``SAMPLE_TOTAL`` characters in all.  It learns the ``MOST_LANGUAGES`` most frequent
+languages (ties: the smaller name), as its tables grow with their number.  It is applied
+to whole texts and sees the text only.
 
 Cases: null texts and texts without letters are ``und`` with score 0; without any
 labelled row every document is ``und``; null ids count as held out; ties go to the
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logdistill.llm import crf
@@ -21,6 +23,8 @@ from logdistill.llm import crf
 FOLDS = 5
 SAMPLE = 400
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = 64_000_000
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 LEAST_SCORE = 0.3
 
@@ -31,20 +35,38 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(text, lang) of about ``sample`` rows per language, chosen by a hash of id and text."""
-    rows = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
-        & (F.char_length("text") <= chars)
+    """(text, lang) of about ``sample`` rows per language, chosen by a hash of id and text.
+
+    Texts longer than ``chars`` give a piece of that length from a place set by the same
+    hash.  The driver gets at most 2 * ``sample`` * ``MOST_LANGUAGES`` pieces, and no more
+    than ``SAMPLE_TOTAL`` characters: with many languages each gives fewer or shorter ones.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    sizes = (
+        rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     )
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) / 1e9
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
-    rate = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(rate)
-    taken = rows.where(share < rate).select("text", "lang").orderBy("lang", share, "text").limit(2 * sample * len(sizes))
-    return [(r["text"], r["lang"]) for r in taken.collect()]
+    sample = max(1, min(sample, SAMPLE_TOTAL // (2 * chars * len(sizes))))
+    chars = min(chars, SAMPLE_TOTAL // (2 * sample * len(sizes)))
+    rates = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, sample / r["n"])) for r in sizes], "lang string, rate double"
+    )
+    key = F.xxhash64("doc_id", "text")
+    share = F.pmod(key, F.lit(1_000_000_000)) / 1e9
+    spare = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
+    piece = F.substring(F.col("text"), (F.pmod(F.xxhash64(key), spare) + 1).cast("int"), F.lit(chars))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "text"))
+    taken = (
+        rows.join(F.broadcast(rates), "lang")  # MOST_LANGUAGES rows at most
+        .where(share < F.col("rate"))
+        .select("lang", share.alias("share"), piece.alias("text"))
+        # Every language keeps its own bound, so none is cut off by the others.
+        .withColumn("rank", rank).where(F.col("rank") <= 2 * sample)
+        .orderBy("lang", "share", "text")
+    )
+    return [(r["text"], r["lang"]) for r in taken.select("text", "lang").collect()]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> dict:

@@ -121,6 +121,38 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated_documents(d.where("false"), b).count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    d = spark.createDataFrame([(1, "la " * 100_000), (2, "la " * 9), (3, "x " + "la " * 10)], "doc_id long, text string")
+    b = spark.createDataFrame([("a", "la " * 20_000), ("b", "la " * 30), ("c", "lo " * 12)], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contaminated_documents(d, b).collect()}
+    assert got == {1: (100_000, 100_000, 2), 2: (9, 0, 0), 3: (11, 10, 2)}
+
+
+def test_decontamination_ships_no_words(spark, monkeypatch):
+    """With neither side small enough for a broadcast, the result is equal and no words are shuffled."""
+    base = [f"t{i}" for i in range(60)]
+    d = spark.createDataFrame(
+        [(1, " ".join(base)), (2, "x " + " ".join(base[5:15])), (3, "short one " * 9), (None, " ".join(base[::-1]))],
+        "doc_id long, text string",
+    )
+    b = spark.createDataFrame([("i1", " ".join(base[:40])), ("i2", "short, ONE")], "item_id string, text string")
+    monkeypatch.setattr(decontaminate, "small_side", lambda df, rows=None, limit=0: df)
+    monkeypatch.setattr(decontaminate, "HIT_BYTES", -1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = d.withColumn("__doc", F.col("doc_id").cast("string")).withColumn("__text", F.md5("text"))
+        worded = keyed.select("__doc", "__text", decontaminate.words_of(F.col("text")).alias("words"))
+        plan = decontaminate.candidates(worded, decontaminate._items(b))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan
+        for line in plan.splitlines():
+            assert "Exchange" not in line or "words" not in line
+        got = decontaminate.contaminated_documents(d, b).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(map(tuple, got), key=repr) == leaks_brute(d.collect(), b.collect())
+
+
 def test_winnowing_keeps_a_print_of_every_window(spark):
     rng = np.random.default_rng(3)
     text = " ".join(f"v{i}" for i in rng.integers(0, 4, 400))
@@ -146,7 +178,7 @@ def test_licenses(spark, docs, odd):
             len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
         )
         assert labels <= set(g.labels.split(",")) and 0 <= g.score <= 1
-    body = words(licenses.TEMPLATES["mit"])
+    body = words(licenses.TEMPLATES["mit"][0][1])
     changed = body[:9] + ["kindly", "and"] + body[9:30] + body[32:]
     rows = [
         (1, "intro " + " ".join(body)), (2, " ".join(changed)), (3, " ".join(reversed(body))),
@@ -159,6 +191,34 @@ def test_licenses(spark, docs, odd):
     assert licenses.licensed_documents(docs.where("false")).count() == 0
 
 
+def test_license_neighbours_get_one_label(spark):
+    gnu = "redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    notice = "This program is free software; you can " + gnu
+    later = ", either version {} of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = {
+        "gpl-2": notice.format("") + later.format(2), "gpl-3": notice.format("") + later.format(3),
+        "gpl": notice.format("") + ".", "lgpl": notice.format("Lesser ") + later.format(3),
+        "agpl": notice.format("Affero ") + later.format(3),
+        "cc-by": cc.format(""), "cc-by-sa": cc.format("-ShareAlike"), "cc-by-nd": cc.format("-NoDerivatives"),
+        "cc-by-nc": cc.format("-NonCommercial"), "cc-by-nc-sa": cc.format("-NonCommercial-ShareAlike"),
+        "cc-by-nc-nd": cc.format("-NonCommercial-NoDerivatives"),
+    }
+    cases = [(label, "intro words " + text + " more words") for label, text in texts.items()]
+    cases += [("gpl-2", "licensed under the GNU General Public License, version 2"), ("gpl-3", "It is licensed under the GNU General Public License, version 3")]
+    # Every part of a license is enough, and gives its label alone.
+    cases += [(label, text) for label, parts in licenses.TEMPLATES.items() for _, text in parts]
+    cases += [("gpl-2,gpl-3", cases[0][1] + " filler" * 20 + " " + cases[1][1])]
+    rows = [(i, text) for i, (_, text) in enumerate(cases)]
+    got = {r.doc_id: r for r in licenses.licensed_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [label for label, _ in cases]
+    places = licenses.template_places(spark)
+    marked = places.where("not base").groupBy("template", "n_deciding").agg(
+        F.count_distinct(F.when(F.col("deciding"), F.col("gram"))).alias("n")
+    )
+    assert marked.where("n <> n_deciding or n = 0").count() == 0
+
+
 def test_secret_patterns(spark, docs, odd):
     assign = re.compile(
         r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -337,6 +397,21 @@ def test_language(docs, odd, spark):
     blind = language.languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in blind} == {"und"} and {r.score for r in blind} == {0.0}
     assert language.languages(docs.where("false")).count() == 0
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rare languages of long texts are learned, and many languages share the bound."""
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 40_000)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 50)
+    rows = [(i, f"w{i} " * (200 if i % 7 else 30_000), f"l{i % 60:02d}") for i in range(600)]
+    rows += [(1000 + i, "z " * 90_000, "long") for i in range(40)]
+    sample = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(len(t) for t, _ in sample) <= 40_000
+    assert len({lang for _, lang in sample}) > 20 and "long" in {lang for _, lang in sample}
+    assert language.training_sample(spark.createDataFrame([], "doc_id long, text string, lang string")) == []
+
+
+def test_language_keeps_columns(spark, odd):
     assert language.known_language(odd).columns == odd.columns
 
 
