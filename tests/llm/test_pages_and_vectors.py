@@ -111,6 +111,51 @@ def test_page_texts(spark, pages, odd_pages):
     assert page_text.main_texts(pages.where("false")).count() == 0
 
 
+def test_marks_of_layout_titles_and_whole_pages(spark):
+    """Marks that wrap a page, lay it out or head an article do not empty it; no article element here but one."""
+    site = "<p>Name</p>{}<p>All rights</p>"
+    own = "<h1>Head {0}</h1><p>Own {0} text</p>"
+    wrap = {
+        "layout": '<div class="layout has-sidebar no-menu">{}</div>', "form": "<form>{}</form>",
+        "wide": '<div class="widget">{}<div class="comments"><p>reader</p></div></div>', "plain": "<div>{}</div>",
+    }
+    rows, want = [], {}
+    for i, (name, around) in enumerate(wrap.items()):
+        for j in range(3):
+            page = 10 * i + j
+            rows.append((page, f"http://{name}.b/p/{j}", around.format(site.format(own.format(page)))))
+            want[page] = f"Head {page}\n\nOwn {page} text"
+    rows.append((90, "http://e.b/", """<article><div class="post-header"><h1>Title</h1></div><p>Body</p>
+        <section class="related-work"><p>Earlier</p></section><div class="related-posts"><p>Ad</p></div></article>"""))
+    want[90] = "Title\n\nBody\n\nEarlier"
+    # Long pages of many shared lines, with and without broadcast differences.
+    many = "".join(f"<p>line {i}</p>" for i in range(3000))
+    rows += [(100 + j, f"http://long.b/{j}", many + f"<p>own {j}</p>" + many) for j in range(2)]
+    want |= {100: "own 0", 101: "own 1"}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (page_text.DIFFERENCE_BYTES, -1):
+        page_text.DIFFERENCE_BYTES, kept = limit, page_text.DIFFERENCE_BYTES
+        try:
+            assert {r.page_id: r.text for r in page_text.main_texts(table).collect()} == want
+        finally:
+            page_text.DIFFERENCE_BYTES = kept
+
+
+def test_page_texts_against_brute_force(spark):
+    """Pages without marks: the lines that no longest common subsequence with the nearest page holds."""
+    rng = np.random.default_rng(5)
+    rows, lines = [], {}
+    for host in range(3):
+        for page in range(12):
+            # Each host has a fixed head and foot, each page words of its own between.
+            body = [f"own{host}x{page}x{k}" for k in range(int(rng.integers(0, 5)))]
+            lines[(host, page)] = body
+            shown = [f"head{host}", *body, f"foot{host}"]
+            rows.append((100 * host + page, f"http://h{host}.b/d/{page:02d}", "".join(f"<p>{x}</p>" for x in shown)))
+    got = page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {100 * h + p: "\n\n".join(x) for (h, p), x in lines.items()}
+
+
 def test_copies_of_pages_are_not_paired(spark):
     body = "<div>Name</div><p>{0} text</p><div>All rights</div>"
     rows = [
