@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -143,22 +144,43 @@ def buckets_of(nodes: DataFrame, runs: int, small: int = SMALL) -> tuple[DataFra
     return out.distinct(), many
 
 
-def _near_pairs(rows: pd.DataFrame, runs: int, tokens: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of a block with a block that this run is the first to hold in a
-    large bucket, and whose sizes and tokens are near enough."""
-    i, j, run = (int(rows[c].iloc[0]) for c in ("i", "j", "run"))
-    # One row per token.
-    sig = np.ascontiguousarray(np.stack(rows["sig"].to_numpy()).T)
-    size, block = rows["n"].to_numpy(), rows["block"].to_numpy()
-    large = np.array([np.isin(np.arange(runs), x) for x in rows["runs"]])
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+@dataclass(frozen=True)
+class _Members:
+    """The members of one block, or of two that meet; ``sig`` has one row per token."""
+
+    node: np.ndarray
+    n: np.ndarray
+    block: np.ndarray
+    sig: np.ndarray
+    # [member, run]: whether the run holds the member in a large bucket.
+    large: np.ndarray
+
+
+def _unpacked(rows: pd.DataFrame, runs: int, tokens: int) -> _Members:
+    node = np.concatenate(list(rows["nodes"]))
+    large = np.zeros((len(node), runs), dtype=bool)
+    large[np.repeat(np.arange(len(node)), np.concatenate(list(rows["n_runs"]))), np.concatenate(list(rows["runs"]))] = True
+    return _Members(
+        node=node, n=np.concatenate(list(rows["ns"])),
+        block=np.repeat(rows["block"].to_numpy(), [len(x) for x in rows["nodes"]]),
+        sig=np.ascontiguousarray(np.concatenate(list(rows["sigs"])).reshape(-1, tokens).T), large=large,
+    )
+
+
+def _near_pairs(
+    m: _Members, i: int, j: int, run: int, runs: int, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of block ``i`` with block ``j`` that this run is the first to hold
+    in a large bucket, and whose sizes and tokens are near enough."""
+    tokens = len(m.sig)
+    left, right = np.flatnonzero(m.block == i), np.flatnonzero(m.block == j)
     steps = _steps(runs, DEPTH)
     for at in range(0, len(left), 128):
         part = left[at : at + 128]
         equal = np.zeros((len(part), len(right)), dtype=np.int16)
         for t in range(tokens):
-            equal += sig[t][part][:, None] == sig[t][right][None, :]
-        fits = np.minimum(size[part][:, None], size[right]) >= np.maximum(size[part][:, None], size[right]) * similarity - 0.5
+            equal += m.sig[t][part][:, None] == m.sig[t][right][None, :]
+        fits = np.minimum(m.n[part][:, None], m.n[right]) >= np.maximum(m.n[part][:, None], m.n[right]) * similarity - 0.5
         good = (equal >= int(ESTIMATE * tokens)) & fits
         if i == j:
             good &= part[:, None] < right[None, :]
@@ -166,7 +188,7 @@ def _near_pairs(rows: pd.DataFrame, runs: int, tokens: int, similarity: float) -
         x, y = part[x], right[y]
         fresh = np.ones(len(x), dtype=bool)
         for r in range(run):
-            fresh &= ~((sig[steps[r]][:, x] == sig[steps[r]][:, y]).all(axis=0) & large[x, r])
+            fresh &= ~((m.sig[steps[r]][:, x] == m.sig[steps[r]][:, y]).all(axis=0) & m.large[x, r])
         yield x[fresh], y[fresh]
 
 
@@ -189,53 +211,79 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` of buckets, each with its block and the number of blocks of its bucket."""
+    sizes = stage(
+        members.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")), "bucket-sizes"
+    )
+    wide = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("size") / 8))
+    blocks = F.ceil(F.greatest(F.col("size") / wide, F.col("shingles") / BLOCK_ITEMS)).cast("int")
+    return members.join(small_side(sizes), "path").select(
+        *members.columns, blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block")
+    )
+
+
+def _meetings(dealt: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """Blocks as single rows of arrays, each once for every block (i, j) it meets."""
+    packed = dealt.groupBy("path", "run", "block", "blocks").agg(
+        F.collect_list(F.struct(*[c for c in dealt.columns if c not in ("path", "run", "block", "blocks")])).alias("m")
+    )
+    sizes = F.transform("m.runs", F.size)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return packed.select(
+        "path", "run", "block", F.col("m.node").alias("nodes"), F.col("m.n").alias("ns"),
+        F.flatten("m.sig").alias("sigs"), sizes.alias("n_runs"), F.flatten("m.runs").alias("runs"),
+        *[c.alias(name) for name, c in more.items()], other.alias("other"),
+    ).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+
 def block_links(
     many: DataFrame, nodes: DataFrame, marks: DataFrame, sets_of, runs: int, tokens: int, similarity: float,
 ) -> tuple[DataFrame, DataFrame]:
     """All links inside large buckets: (node, n_links) and spanning edges (a, b).
 
-    Members are dealt into blocks, and every block meets every block of its bucket in a
-    task of its own.  Tasks return counts and spanning edges, so rows do not grow with the
-    links.  A pair counts in the first of its runs in a large bucket only.  The first pass
-    names the nodes whose exact sets are needed, the second verifies.
+    Members are dealt into blocks, a block is one row of arrays, and every block meets
+    every block of its bucket in a task of its own.  Tasks return counts and spanning edges,
+    so rows grow with members and with meetings of blocks, not with links.  A pair counts in
+    the first of its runs in a large bucket only.  The first pass names the nodes whose
+    exact sets are needed, the second deals these anew and verifies.
     """
-    weights = many.join(nodes.select("node", "n"), "node").groupBy("path").agg(F.sum("n").alias("items"))
-    wide = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("size") / 8))
-    blocks = F.ceil(F.greatest(F.col("size") / wide, F.col("items") / BLOCK_ITEMS)).cast("int")
-    dealt = many.join(weights, "path").select(
-        "node", "run", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block")
-    )
-    met = stage(
-        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "node", "run", "path", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-        ),
-        "block-members",
-    )
     keys = ["path", "i", "j"]
     # The low half of a token is compared: halves differ where tokens do, but for one in 2^32.
     half = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
     signed = nodes.select("node", "n", half.alias("sig")).join(marks, "node")
+    members = stage(many.select("node", "run", "path").join(signed, "node"), "block-members")
 
     def named(rows: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(len(rows), dtype=bool)
-        for x, y in _near_pairs(rows, runs, tokens, similarity):
+        i, j, run = (int(rows[c].iloc[0]) for c in ("i", "j", "run"))
+        m = _unpacked(rows, runs, tokens)
+        hit = np.zeros(len(m.node), dtype=bool)
+        for x, y in _near_pairs(m, i, j, run, runs, similarity):
             hit[x] = True
             hit[y] = True
-        return rows.loc[hit, ["node", "run", "path", "block", "i", "j"]]
+        needs = [m.node[hit & (m.block == b)] for b in sorted({i, j})]
+        return pd.DataFrame(
+            {"path": rows["path"].iloc[0], "run": run, "block": sorted({i, j}), "needs": needs}
+        )
 
-    needed = stage(
-        met.join(signed, "node").groupBy(*keys).applyInPandas(named, "node long, run int, path long, block int, i int, j int"),
-        "block-needs",
+    needs = (
+        _meetings(_dealt(members), {}).groupBy(*keys)
+        .applyInPandas(named, "path long, run int, block int, needs array<long>")
+        .groupBy("path", "run", "block")
+        .agg(F.array_distinct(F.flatten(F.collect_list("needs"))).alias("needs"))
     )
+    needed = stage(needs.select("path", "run", F.explode("needs").alias("node")), "block-needs")
+    sets = sets_of(needed.select("node").distinct())
 
     def verified(rows: pd.DataFrame) -> pd.DataFrame:
-        items = list(rows["items"])
-        _, flat = np.unique(np.concatenate(items), return_inverse=True)
-        ends = np.cumsum([len(s) for s in items])
-        own = [flat[e - len(s) : e] for e, s in zip(ends, items, strict=True)]
+        i, j, run = (int(rows[c].iloc[0]) for c in ("i", "j", "run"))
+        m = _unpacked(rows, runs, tokens)
+        _, flat = np.unique(np.concatenate(list(rows["items"])), return_inverse=True)
+        ends = np.cumsum(m.n)
+        own = [flat[e - n : e] for e, n in zip(ends, m.n, strict=True)]
         mark = np.zeros(int(flat.max()) + 1, dtype=bool)
-        links, ones, twos = np.zeros(len(rows), dtype=np.int64), [], []
-        for x, y in _near_pairs(rows, runs, tokens, similarity):
+        links, ones, twos = np.zeros(len(m.node), dtype=np.int64), [], []
+        for x, y in _near_pairs(m, i, j, run, runs, similarity):
             for a in np.unique(x):
                 mark[own[a]] = True
                 for b in y[x == a]:
@@ -246,24 +294,24 @@ def block_links(
                         ones.append(a)
                         twos.append(b)
                 mark[own[a]] = False
-        node = rows["node"].to_numpy()
-        forest = _spanning(np.array(ones, dtype=int), np.array(twos, dtype=int), len(rows))
+        forest = _spanning(np.array(ones, dtype=int), np.array(twos, dtype=int), len(m.node))
         linked = np.flatnonzero(links)
+        # One row: the links of each member, and the edges.
         return pd.DataFrame(
             {
-                "a": np.concatenate((node[linked], node[[x for x, _ in forest]])).astype(np.int64),
-                "b": pd.array([None] * len(linked) + [int(node[y]) for _, y in forest], dtype="Int64"),
-                "n_links": np.concatenate((links[linked], np.zeros(len(forest), dtype=np.int64))),
+                "nodes": [m.node[linked]], "links": [links[linked]],
+                "ones": [m.node[[x for x, _ in forest]]], "twos": [m.node[[y for _, y in forest]]],
             }
         )
 
+    ready = needed.join(signed, "node").join(sets, "node")
     found = stage(
-        needed.join(signed, "node").join(sets_of(needed.select("node").distinct()), "node")
-        .groupBy(*keys).applyInPandas(verified, "a long, b long, n_links long"),
+        _meetings(_dealt(ready), {"items": F.flatten("m.items")}).groupBy(*keys)
+        .applyInPandas(verified, "nodes array<long>, links array<long>, ones array<long>, twos array<long>"),
         "block-links",
     )
-    counts = found.where(F.col("b").isNull()).select(F.col("a").alias("node"), "n_links")
-    return counts, found.where(F.col("b").isNotNull()).select("a", "b")
+    counts = found.select(F.inline(F.arrays_zip("nodes", "links"))).toDF("node", "n_links")
+    return counts, found.select(F.inline(F.arrays_zip("ones", "twos"))).toDF("a", "b")
 
 
 def links(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .conftest import words
 from logdistill.llm import crf, decontaminate, language, licenses, line_dedup, mixing, ngram_join, secrets
+from logdistill.llm.common import stage
 
 
 def sha(text: str) -> str:
@@ -355,6 +356,27 @@ def test_ngram_join_piles_list_all_links(spark, monkeypatch, block):
     assert sorted(map(tuple, ngram_join.classified(frame).collect()), key=repr) == want
 
 
+def test_ngram_join_rows_do_not_grow_with_blocks(spark, monkeypatch):
+    """A member of a large bucket is one row a run, however many blocks its bucket has."""
+    seen = {}
+
+    def spy(df, label):
+        out = stage(df, label)
+        seen.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "stage", spy)
+    texts = varied(np.random.default_rng(4), [f"b{i}" for i in range(150)], "x", 120, lambda i: 1)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_links for r in ngram_join.classified(frame).collect()} == {119}
+    (members,), (needs,), (links,) = (seen[f"block-{x}"] for x in ("members", "needs", "links"))
+    assert members.count() == members.select("node", "run").distinct().count() <= 120 * 13
+    assert needs.count() <= members.count()
+    # Buckets of at most 120 members have at most 8 blocks: 36 meetings.
+    assert links.count() <= 36 * members.select("path").distinct().count()
+
+
 def test_ngram_join_pairs_in_a_crowd(spark):
     """Pairs at 0.8 among 2,500 texts that share 0.7 with each other."""
     base = " ".join(f"b{i}" for i in range(164))
