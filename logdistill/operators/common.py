@@ -63,6 +63,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows and characters up to which a staged table with one row per scope is broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 32 << 20
+
+
+def small_side(staged: DataFrame) -> DataFrame:
+    """Mark a staged table for broadcast if its measured size allows it.
+
+    Without the mark a join of events with few scopes shuffles the events into as many
+    tasks as there are scopes: adaptive plans take a broadcast back where most partitions
+    are empty.  A larger table is left to Spark, which splits skewed partitions.
+    """
+    chars = F.length(F.to_json(F.struct("*")))
+    size = staged.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars")).first()
+    return F.broadcast(staged) if size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS else staged
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add row numbers from 0 in the given order without sorting in one task.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logdistill.config import DEFAULTS, Config
 from logdistill.functions import patterns as P
 from logdistill.operators import compare as D
-from logdistill.operators.common import null_safe_join, stage
+from logdistill.operators.common import null_safe_join, small_side, stage
 from logdistill.operators.enrich import prepare
 from logdistill.operators.evidence import build_comparison_evidence, build_evidence
 from logdistill.operators.filters import contains_filters, level_filter
@@ -226,11 +226,12 @@ def analyze_events(
     The window ends one second after the last event.  No level filter and no dedup.
     Returns the reduction and the windows table.
     """
-    bounds = events.groupBy(*scope).agg(
+    found = events.groupBy(*scope).agg(
         F.min("ts").alias("window_start"),
         (F.max("ts") + F.expr("INTERVAL 1 SECOND")).alias("window_end"),
     )
-    framed = null_safe_join(events, bounds, scope)
+    bounds = stage(found, "bounds")
+    framed = null_safe_join(events, small_side(bounds), scope)
     full = [*scope, "window_start", "window_end"]
     return reduce_events(framed, full, F.col("window_end"), cfg), bounds
 

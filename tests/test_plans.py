@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from conftest import SF
 from pyspark.sql import functions as F
 from scenarios import SCHEMA, START, event, locked
@@ -11,6 +13,8 @@ from logdistill.checks import views as V
 from logdistill.operators import clusters as C
 from logdistill.operators import common
 from logdistill.operators.enrich import prepare
+from logdistill.plans import incident as I
+from logdistill.plans.reduce import reduce_events
 from logdistill.streaming import live
 
 
@@ -40,6 +44,28 @@ def test_time_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "log_stream" not in text.split("ReadSchema")[1]
 
 
+def test_few_scopes_do_not_gather_events_in_few_tasks(spark, monkeypatch):
+    framed = []
+
+    def seen(events, *args):
+        framed.append(events)
+        return reduce_events(events, *args)
+
+    monkeypatch.setattr(I, "reduce_events", seen)
+    rows = [("g", START, "ERROR a"), ("g", START + timedelta(seconds=9), "b"), (None, START, "c")]
+    events = spark.createDataFrame(rows * 2, "log_group string, ts timestamp, message string")
+    reduction, bounds = I.analyze_events(events.withColumn("log_stream", F.lit("s")))
+    text = plan(framed[0])
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert {r.log_group: r.events for r in reduction.stats.collect()} == {"g": 4, None: 2}
+    spans = {r.log_group: r.window_end - r.window_start for r in bounds.collect()}
+    assert spans == {"g": timedelta(seconds=10), None: timedelta(seconds=1)}
+    # Tables beyond the bound are joined without a broadcast, with the same rows.
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert {r.log_group: r.events for r in I.analyze_events(events.withColumn("log_stream", F.lit("s")))[0].stats.collect()} == {"g": 4, None: 2}
+    assert "ResolvedHint" not in framed[1]._jdf.queryExecution().analyzed().toString()
+
+
 def test_ranking_limits_each_task(spark):
     df = spark.createDataFrame([("g", "c", 1, 0.5, None, "t")], "log_group string, cluster_id string, event_count bigint, score double, exception_type string, template string")
     assert "WindowGroupLimit" in plan(C.rank_clusters(df, ("log_group",), 50))
