@@ -13,7 +13,7 @@ from logdistill.config import DEFAULTS, Config
 from logdistill.functions import patterns as P
 from logdistill.operators.common import null_safe_join, numbered, stage
 from logdistill.operators.enrich import extract_fields, redact
-from logdistill.operators.idfilter import bloom_filter, filter_bits, probe_hits, probes_of
+from logdistill.operators.idfilter import bloom_filter, filter_bits, gram_for, probe_hits, probes_of
 
 # Id tables with more characters or rows than this are not broadcast by a trace.
 BROADCAST_ID_CHARS = 64 << 20
@@ -244,7 +244,8 @@ def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) ->
     ids = request_ids.select(F.col("request_id").alias("wanted_id")).where(
         F.length("wanted_id") > 0
     ).distinct()
-    probes = stage(probes_of(ids), "id-probes")
+    ids = stage(ids, "ids")
+    probes = stage(probes_of(ids, gram_for(ids.count())), "id-probes")
     size = F.char_length("probe")
     facts = probes.agg(
         F.collect_set(size).alias("sizes"), F.count(F.lit(1)).alias("n"),
@@ -259,14 +260,19 @@ def _mark_requests(events: DataFrame, request_ids: DataFrame | Sequence[str]) ->
         events = events.where(message.contains(prefix))
     bits = filter_bits(facts["n"])
     words = stage(bloom_filter(probes, bits), "id-filter").scalar()
-    hits = probe_hits(message, F.col("__words"), bits, sorted(facts["sizes"]))
-    # The outer explode keeps the optimizer from testing all runs once more in a filter.
+    sizes = sorted(facts["sizes"])
+    # The filter is read once, by the lambda, so it is folded into the projection and not
+    # copied into every row; the outer explode keeps the tests out of a second filter.
+    hits = F.flatten(F.transform(F.array("__words"), lambda w: probe_hits(message, w, bits, sizes)))
     pieces = (
         events.withColumn("__words", words)
-        .withColumn("probe", F.explode_outer(hits))
+        .withColumn("__hits", hits)
         .drop("__words")
+        .withColumn("probe", F.explode_outer("__hits"))
+        .drop("__hits")
         .where(F.col("probe").isNotNull())
     )
+    probes = probes.select("wanted_id", F.xxhash64("probe").alias("probe"))
     if facts["chars"] <= BROADCAST_ID_CHARS and facts["n"] <= BROADCAST_IDS:
         probes = F.broadcast(probes)
     # An id has one probe, so each pair of event and id is met once.

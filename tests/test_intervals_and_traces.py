@@ -113,6 +113,29 @@ def test_messages_without_a_hit_give_no_rows(spark):
     assert 1 <= rows <= 30
 
 
+@pytest.mark.parametrize("gram", [B.GRAM, B.LONG_GRAM])
+def test_numbers_in_messages_are_no_probes(spark, gram):
+    """Ids of digits and letters are looked for by letters, as every message has numbers."""
+    ids = [(f"{i * 2654435761 % 2**48:012x}",) for i in range(1, 400)]
+    probes = [r.probe for r in B.probes_of(spark.createDataFrame(ids, "wanted_id string"), gram).collect()]
+    assert all(any(p in i for i, in ids) and len(p) == gram for p in probes)
+    assert sum(p.isdigit() for p in probes) < len(probes) / 20
+
+
+def test_the_id_filter_is_no_column_of_the_events(spark):
+    """A column would be copied into the row of every message, and it grows with the ids."""
+    events = spark.createDataFrame([event(minutes(1), "at ab12 it broke")], SCHEMA)
+    marked = R._mark_requests(events, spark.createDataFrame([("ab12",), ("zz",)], "request_id string"))
+    text = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in text and "__words" not in text
+    assert [r.wanted_id for r in marked.collect()] == ["ab12"]
+
+
+def test_traces_of_more_ids_than_short_runs_tell_apart(spark, monkeypatch):
+    monkeypatch.setattr(B, "MANY", 30)
+    test_traces_of_many_ids(spark, 4)
+
+
 def signature_rows(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
 
