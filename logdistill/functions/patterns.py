@@ -74,6 +74,27 @@ REDACTION_TRIGGERS: tuple[str, ...] = (
     "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox",
 )
 
+# Lower-cased words of which a text that a rule matches holds at least one, by pattern.
+RULE_TRIGGERS: dict[str, tuple[str, ...]] = {
+    rule.pattern: {
+        "private_key_block": ("private key-----",),
+        "aws_access_key": ("akia", "asia", "agpa", "aida", "aroa", "anpa"),
+        "aws_secret_key_assignment": ("secret_access_key",),
+        "jwt": ("eyj",),
+        "bearer_token": ("bearer",),
+        "authorization_header": ("authorization",),
+        "url_credentials": ("://",),
+        "keyvalue_secret": ("passw", "pwd", "secret", "key", "token", "session"),
+        "cookie_header": ("cookie",),
+        "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+        "slack_token": ("xox",),
+        "email": ("@",),
+    }[rule.name]
+    for rule in (*SECRET_RULES, EMAIL_RULE)
+}
+# Cheap patterns that a text holds if it holds the longer one.
+RULE_PARTS: dict[str, str] = {PHONE_RULE.pattern: r"\d{3}", IP_RULE.pattern: r"\d\.\d"}
+
 # --- templates, in order of application --------------------------------------
 
 TEMPLATE_RULES: tuple[Rule, ...] = (

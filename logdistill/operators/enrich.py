@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,14 +89,27 @@ def redact(
 def redaction_report(
     events: DataFrame, scope: Sequence[str], text: str = "message", cfg: Config = DEFAULTS
 ) -> DataFrame:
-    """Replacements per rule and scope, each rule counted on the text the earlier ones left."""
+    """Replacements per rule and scope, each rule counted on the text the earlier ones left.
+
+    A rule runs on texts that hold what it cannot do without, and replaces where it counts.
+    Words that replacements bring in count as held, so texts once changed are always read.
+    """
     rules = active_rules(cfg)
-    df = events.select(*scope, F.col(text).alias("__text"))
+    df = events.select(
+        *scope, F.col(text).alias("__text"), F.lower(F.col(text)).alias("__lowered"), F.lit(False).alias("__changed")
+    )
     for i, rule in enumerate(rules):
-        df = df.withColumns(
+        hits = F.regexp_count("__text", F.lit(rule.pattern))
+        if rule.pattern in P.RULE_TRIGGERS:
+            held = [F.col("__lowered").contains(t) for t in P.RULE_TRIGGERS[rule.pattern]]
+            hits = F.when(~(reduce(lambda a, b: a | b, held) | F.col("__changed")), 0).otherwise(hits)
+        elif rule.pattern in P.RULE_PARTS:
+            hits = F.when(~F.col("__text").rlike(P.RULE_PARTS[rule.pattern]), 0).otherwise(hits)
+        hit = F.col(f"__hits_{i}") > 0
+        df = df.withColumn(f"__hits_{i}", hits).withColumns(
             {
-                f"__hits_{i}": F.regexp_count("__text", F.lit(rule.pattern)),
-                "__text": F.regexp_replace("__text", rule.pattern, rule.replacement),
+                "__text": F.when(hit, F.regexp_replace("__text", rule.pattern, rule.replacement)).otherwise(F.col("__text")),
+                "__changed": F.col("__changed") | F.coalesce(hit, F.lit(False)),
             }
         )
     totals = df.groupBy(*scope).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logdistill.config import Config, Rule
 from logdistill.functions import patterns as P
 from logdistill.functions.text import active_rules, glob_regex, normalize_text, redact_text, strip
+from logdistill.operators.enrich import redaction_report
 
 PEM = "-----BEGIN EC PRIVATE KEY-----\nq0q0\nq1q1\n-----END EC PRIVATE KEY-----"
 
@@ -147,3 +148,23 @@ def test_strip_takes_every_blank(spark):
 def test_globs(pattern, yes, no):
     regex = re.compile(glob_regex(pattern).replace(r"\A", "").replace(r"\z", ""))
     assert all(regex.fullmatch(x) for x in yes) and not any(regex.fullmatch(x) for x in no)
+
+
+def test_the_report_reads_texts_only_where_a_rule_may_match(spark, monkeypatch):
+    """The same counts as with every rule on every text, also where replacements bring in words."""
+    texts = [
+        "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----: 'a'", "AKIA" + "A1" * 8, "Aws_Secret_Access_KEY = zz",
+        "eyJhbGciOiJI.eyJzdWIi.sig", "BEARER abcdefgh12", "Authorization: Basic zzz", "ftp://me:pw@host", "Session-ID=4; api_key: 'x'",
+        "Set-Cookie: a=b\ntoken=1", "ghp_" + "a" * 24, "xoxb-1234567890", "me@sea.example", "+49 (30) 123 4567 or 10.0.0.7",
+        "quiet", "", None, "secret" + "K" + "ey=1", "eyJhbGciOiJI.eyJzdWIi.sig=" + "AKIA" + "B2" * 8 + "] = 7",
+    ]
+    cfg = Config(redact_phones=True, redact_ips=True, extra_rules=(Rule("q", "qu(i)et", "$1"),))
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)] + [(9, None)], "scope int, message string")
+    report = redaction_report(docs, ("scope",), "message", cfg)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, report.collect()), key=repr)
+    monkeypatch.setattr(P, "RULE_TRIGGERS", {})
+    monkeypatch.setattr(P, "RULE_PARTS", {})
+    assert got == sorted(map(tuple, redaction_report(docs, ("scope",), "message", cfg).collect()), key=repr)
+    assert {r[1] for r in got if r[2]} == {r.name for r in active_rules(cfg)}
+    assert plan.count("Contains(") >= 11
