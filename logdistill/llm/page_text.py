@@ -8,13 +8,15 @@ site, not to the page.
 Structure corrects what differencing cannot see.  Lines in menus, headers, footers,
 sidebars, notices, adverts and forms are dropped whether shared or not, since many sites
 vary them by page; and lines inside an article element are kept even if the neighbour
-holds them too, since articles quote each other.  Where a page has lines in marked regions
-only, as when a marked element wraps all of it, the marks mean nothing and differencing
-decides them as it decides all lines of pages without an article element.  Reader comments
-always go.
+holds them too, since articles quote each other.  Differencing decides all other lines, on
+pages with and without an article element: those a page has for itself stay, so text that
+follows a closed article is not lost.  Where a page has lines in marked regions only, as
+when a marked element wraps all of it, the marks mean nothing and differencing decides
+them too.  Reader comments always go.
 
 Cases: null html has an empty text; pages without url are paired among themselves; the
-only page of a host loses no shared lines; pages of a host with equal lines stand for each
+only page of a host loses no shared lines, but if it has an article element that alone is
+its text, as nothing tells which other lines are the site's; pages of a host with equal lines stand for each
 other and are not paired, whatever their ids and urls; an empty table gives no rows.
 """
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logdistill.llm.common import numbered, stage
@@ -121,27 +123,29 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     read = stage(parsed(pages.select("page_id", "url", "html")), "parsed-pages")
     shared = shared_lines(read)
-    # Pages with an article element need no difference carried to them.
-    open_pages = read.where(~F.array_contains("regions", ARTICLE) & (F.size("regions") > 0))
+    article, other = F.array_contains("regions", ARTICLE), F.array_contains("regions", OTHER)
+    # Pages of marked and article lines need no difference carried to them.
+    open_pages = read.where((other | ~article) & (F.size("regions") > 0))
     decided = stage(shared.join(open_pages.select("key").distinct(), "key", "left_semi"), "shared-lines")
     size = decided.agg(F.sum(F.size("shared") * 4 + 40)).first()[0] or 0
     if size <= DIFFERENCE_BYTES:
         decided = F.broadcast(decided)
-    region = (
-        F.when(F.array_contains("regions", ARTICLE), ARTICLE)
-        .when(F.array_contains("regions", OTHER), OTHER)
-        .otherwise(AROUND)
-    )
-    places = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size("lines"), F.lit(1)) - 1),
-        lambda i: F.get("regions", i) == F.col("region"),
+    differs = F.col("shared").isNotNull()
+
+    def may_stay(place: Column) -> Column:
+        region = F.get("regions", place)
+        beside = (region == ARTICLE) | ((region == OTHER) & differs)
+        return F.when(article, beside).when(other, region == OTHER).otherwise(region == AROUND)
+
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines"), F.lit(1)) - 1), may_stay)
+    shared_places = F.filter(
+        F.coalesce("shared", F.array().cast("array<int>")), lambda i: F.get("regions", i) != ARTICLE
     )
     # Places differ, so a set difference by hash drops the shared ones whatever their number.
-    kept = F.array_except(places, F.coalesce("shared", F.array().cast("array<int>")))
+    kept = F.array_except(places, shared_places)
     text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), BETWEEN)
     return (
         read.join(decided, "key", "left")
-        .withColumn("region", region)
         .select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("text"))
         .withColumn("n_chars", F.char_length("text").cast("long"))
     )

@@ -156,6 +156,16 @@ def test_page_texts_against_brute_force(spark):
     assert {r.page_id: r.text for r in got} == {100 * h + p: "\n\n".join(x) for (h, p), x in lines.items()}
 
 
+def test_differencing_decides_lines_beside_an_article(spark):
+    """What only one page has beside its article is its own text; what both have is the site's."""
+    page = "<div>Name</div><article><h1>Head {0}</h1><p>Quoted</p></article><p>Part two of {0}</p><div>All rights</div>"
+    rows = [(i, f"http://a.b/{i}", page.format(i)) for i in range(3)] + [(9, "http://c.d/9", page.format(9))]
+    rows.append((8, "http://a.b/8", page.format(8) + '<nav><p>Menu 8</p></nav><div class="comments"><p>reader</p></div>'))
+    got = page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"Head {i}\n\nQuoted\n\nPart two of {i}" for i in (0, 1, 2, 8)} | {9: "Head 9\n\nQuoted"}
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_copies_of_pages_are_not_paired(spark):
     body = "<div>Name</div><p>{0} text</p><div>All rights</div>"
     rows = [
