@@ -14,6 +14,7 @@ import numpy as np
 BIGRAMS, TRIGRAMS, AFFIXES, LEXICON = 1 << 14, 1 << 17, 1 << 16, 1 << 17
 BLOCK = 64
 AFFIX = 4
+PIECE = 120_000
 _P = np.uint64(0x100000001B3)
 
 
@@ -260,8 +261,12 @@ def fit(
     return model
 
 
-def label_texts(model: dict, texts: list[str], piece: int = 1_000_000) -> np.ndarray:
-    """Mean word marginals [texts, languages]; zero rows for texts without letters."""
+def label_texts(model: dict, texts: list[str], piece: int = PIECE) -> np.ndarray:
+    """Mean word marginals [texts, languages]; zero rows for texts without letters.
+
+    Texts are worked on in groups of about ``piece`` characters: the arrays of a group take
+    more than a hundred bytes a character, and an executor runs as many tasks as it has cores.
+    """
     k = len(model["languages"])
     out = np.zeros((len(texts), k))
     start = 0

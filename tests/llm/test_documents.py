@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -459,3 +460,18 @@ def test_forward_backward_is_exact(docs):
         assert np.allclose(fast[a:b], m / m.sum(axis=1, keepdims=True), atol=1e-9)
     mixed = crf.label_texts(model, [rows[0][0] + " " + rows[1][0]], piece=500)
     assert np.allclose(mixed, crf.label_texts(model, [rows[0][0] + " " + rows[1][0]]), atol=1e-6)
+
+
+def test_labelling_holds_few_characters_at_once():
+    """Six tasks of an executor label texts beside a heap; their arrays stay small."""
+    rng = np.random.default_rng(3)
+    model = crf.zero_model(["aa", "bb", "cc", "dd"])
+    texts = ["".join(chr(97 + c) if c < 26 else " " for c in rng.integers(0, 31, 2500)) for _ in range(400)]
+    tracemalloc.start()
+    try:
+        crf.label_texts(model, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
+    assert np.allclose(crf.label_texts(model, texts), crf.label_texts(model, texts, piece=1_000_000), atol=1e-12)
